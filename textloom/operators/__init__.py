@@ -1,0 +1 @@
+"""Operators of the chunking and enrichment engine."""

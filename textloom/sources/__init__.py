@@ -1,0 +1 @@
+"""Sources of the chunking and enrichment engine."""

@@ -1,0 +1 @@
+"""Streaming of the chunking and enrichment engine."""
