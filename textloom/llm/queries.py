@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import quality_rules
+from textloom.llm import pii, quality_rules
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -61,5 +61,12 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 from ledger
 """
 
-QUERIES = {"op3_quality_rules": op3_quality_rules}
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of documents."""
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_pii": op2_pii, "op3_quality_rules": op3_quality_rules}
 ORACLES = {"op3_quality_rules": OP3_SQL}
