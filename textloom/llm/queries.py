@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import pii, quality_rules
+from textloom.llm import mixing, pii, quality_rules
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -68,5 +68,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_pii": op2_pii, "op3_quality_rules": op3_quality_rules}
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to sources that weigh 1, 2, 3 in turn; taken counts words with repeats."""
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), mixing.cycle_123())
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_pii": op2_pii, "op3_quality_rules": op3_quality_rules}
 ORACLES = {"op3_quality_rules": OP3_SQL}
