@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import mixing, pii, quality_rules
+from textloom.llm import mixing, packing, pii, quality_rules
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -74,5 +75,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_pii": op2_pii, "op3_quality_rules": op3_quality_rules}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_pii": op2_pii, "op3_quality_rules": op3_quality_rules, "op4_packing": op4_packing}
 ORACLES = {"op3_quality_rules": OP3_SQL}
