@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import mixing, packing, pii, quality_rules
+from textloom.llm import mixing, ngram_join, packing, pii, quality_rules
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -80,5 +80,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_pii": op2_pii, "op3_quality_rules": op3_quality_rules, "op4_packing": op4_packing}
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    return ngram_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_pii": op2_pii,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_packing": op4_packing,
+    "op5_ngram_join": op5_ngram_join,
+}
 ORACLES = {"op3_quality_rules": OP3_SQL}
