@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import mixing, ngram_join, packing, pii, quality_rules
+from textloom.llm import maxent_lm, mixing, ngram_join, packing, pii, quality_rules
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -85,11 +85,17 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(table(spark, sf_dir, "documents"))
 
 
+def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under the hashed maximum-entropy model, learned from four folds of five."""
+    return maxent_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op5_ngram_join": op5_ngram_join,
+    "op10_maxent_lm": op10_maxent_lm,
 }
 ORACLES = {"op3_quality_rules": OP3_SQL}
