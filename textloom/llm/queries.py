@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import maxent_lm, mixing, ngram_join, packing, pii, quality_rules
+from textloom.llm import maxent_lm, mixing, ngram_join, packing, pii, quality_rules, toxicity
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -90,12 +90,20 @@ def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores and spans of all documents, learned from three folds of four of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=~toxicity.held_out("doc_id"))
+    return toxicity.toxicity_scores(docs, model)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op5_ngram_join": op5_ngram_join,
+    "op8_toxicity": op8_toxicity,
     "op10_maxent_lm": op10_maxent_lm,
 }
 ORACLES = {"op3_quality_rules": OP3_SQL}
