@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import maxent_lm, mixing, ngram_join, packing, pii, quality_rules, toxicity
+from textloom.llm import kneser_ney, maxent_lm, mixing, ngram_join, packing, pii, quality_rules, toxicity
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -97,6 +97,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, model)
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of all documents under trusted text, and whether their language's quantile keeps them."""
+    return kneser_ney.perplexity_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
@@ -104,6 +109,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_ngram_join": op5_ngram_join,
     "op8_toxicity": op8_toxicity,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_maxent_lm": op10_maxent_lm,
 }
 ORACLES = {"op3_quality_rules": OP3_SQL}
