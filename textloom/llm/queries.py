@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import kneser_ney, maxent_lm, mixing, ngram_join, packing, pii, quality_rules, toxicity
+from textloom.llm import html_crf, kneser_ney, maxent_lm, mixing, ngram_join, packing, pii, quality_rules, toxicity
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -102,12 +102,19 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.perplexity_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    pages = table(spark, sf_dir, "pages")
+    return html_crf.extract_main_text(pages, html_crf.fit(pages))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op5_ngram_join": op5_ngram_join,
+    "op7_html_crf": op7_html_crf,
     "op8_toxicity": op8_toxicity,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_maxent_lm": op10_maxent_lm,
