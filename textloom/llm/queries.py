@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import html_crf, kneser_ney, maxent_lm, mixing, ngram_join, packing, pii, quality_rules, toxicity
+from textloom.llm import html_crf, kneser_ney, maxent_lm, media, mixing, ngram_join, packing, pii, quality_rules, toxicity
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -108,12 +108,18 @@ def op7_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract_main_text(pages, html_crf.fit(pages))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among the pictures of all vectors, of which one in ten has an edited copy."""
+    return media.media_copies(media.rendered(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op5_ngram_join": op5_ngram_join,
+    "op6_media": op6_media,
     "op7_html_crf": op7_html_crf,
     "op8_toxicity": op8_toxicity,
     "op9_kneser_ney": op9_kneser_ney,
