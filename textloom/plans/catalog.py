@@ -196,7 +196,7 @@ def w2_running_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select user_id, epoch_us(ts) as from_us, epoch_us(nxt) as to_us from (select user_id, ts, lead(ts) over (partition by user_id order by ts) as nxt from events)
-where epoch_us(nxt) - epoch_us(ts) > 3600 * 1000000""")
+where epoch_us(nxt) - epoch_us(ts) > 3600000000""")
 def w5_stall_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = C.stall_gaps(table(spark, sf_dir, "events"), "user_id", "ts", 3600.0)
     return gaps.select("user_id", F.unix_micros("from_ts").alias("from_us"), F.unix_micros("to_ts").alias("to_us"))
