@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import crf
 from textloom.llm import textscan as ts
+from textloom.llm.shared import hash_sample
 
 SAMPLE_PAGES = 400
 VARIANTS = 3
@@ -292,8 +293,9 @@ def fit_pages(pages: list[str], variants: int = VARIANTS, seed: int = 11) -> Mod
 
 def fit(pages: DataFrame, page: str = "html", key: str = "page_id") -> Model:
     """A model from SAMPLE_PAGES pages at most, chosen by hash of their id."""
-    chosen = pages.select(F.col(page).cast("string").alias("html"), F.col(key).alias("id")).where("html IS NOT NULL")
-    rows = chosen.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PAGES).collect()
+    ids = hash_sample(pages.where(F.col(page).isNotNull()).select(F.col(key).alias("sample_id")).distinct(), "sample_id", SAMPLE_PAGES)
+    chosen = pages.join(F.broadcast(ids), pages[key] == ids["sample_id"]).select(F.col(page).cast("string").alias("html"), "sample_id")
+    rows = chosen.dropDuplicates(["sample_id"]).orderBy("sample_id").collect()  # SAMPLE_PAGES rows at most
     return fit_pages([r["html"] for r in rows])
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import crf
 from textloom.llm import textscan as ts
+from textloom.llm.shared import hash_sample
 
 SAMPLE = {1: 4_000, 0: 8_000}  # labelled documents of each class that the chain is fitted on, at most
 MAX_FEATURES = 4_096
@@ -133,7 +134,7 @@ def held_out(key: str, fold: int = 4, part: int = 2) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, keep: Column) -> DataFrame:
     """text, label of at most SAMPLE documents per class, chosen by hash; exact copies count once."""
     known = labels.where(keep).where(F.col(label).isin(0, 1)).select(F.col(key).alias("sample_id"), F.col(label).cast("int").alias("label")).dropDuplicates(["sample_id"])
-    parts = [known.where(F.col("label") == c).orderBy(F.xxhash64("sample_id"), "sample_id").limit(n) for c, n in SAMPLE.items()]
+    parts = [hash_sample(known.where(F.col("label") == c), "sample_id", n) for c, n in SAMPLE.items()]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # sum(SAMPLE.values()) rows at most
     return docs.join(chosen, docs[key] == chosen["sample_id"]).select(F.col(text).cast("string").alias("text"), "label", "sample_id").where("text IS NOT NULL").dropDuplicates(["text", "label"])
 
