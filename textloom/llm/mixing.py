@@ -24,6 +24,7 @@ from textloom.llm.shared import saved
 
 BUCKET_ROWS = 20_000
 FAN_IN = 64
+BROADCAST_SOURCES = 50_000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 STATE = "source_key string, bucket long, doc_id long, ordinal long, size long, p double, copies long, open boolean, missing double"
 
@@ -135,9 +136,12 @@ def mix_sources(docs: DataFrame, weight: Column, most: float = 3.0, text: str =
     buckets = max(1, -(-rows // BUCKET_ROWS))
     plan = saved(targets(sizes, weight, most))
     means = sizes.groupBy("source").agg(F.avg("size").alias("mean_size"))
+    # One row per source: broadcast while there are few, which also keeps a source with a third of all rows spread over tasks.
+    few = plan.count() <= BROADCAST_SOURCES
     recipe = plan.join(means, plan["source"].eqNullSafe(means["source"])).select(plan["source"], "wanted", "mean_size")
     # Rows with the same id and size are told apart by their number among equals, whichever comes first.
     numbered = sizes.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(1))).cast("long"))
+    recipe = F.broadcast(recipe) if few else recipe
     joined = numbered.join(recipe, numbered["source"].eqNullSafe(recipe["source"])).drop(recipe["source"])
     whole = F.floor("wanted")
     fraction = F.col("wanted") - whole
@@ -155,13 +159,13 @@ def mix_sources(docs: DataFrame, weight: Column, most: float = 3.0, text: str =
     room = waiting.groupBy("source_key").agg(F.sum(F.when((F.col("p") > 0) & (F.col("p") < 1), F.col("size"))).alias("room"))
     lack = early.groupBy("source_key").agg(F.sum("missing").alias("lack"))
     shift = saved(room.join(lack, "source_key").select("source_key", F.coalesce(F.col("lack") / F.col("room"), F.lit(0.0)).alias("shift")))
-    shifted = waiting.join(shift, "source_key", "left").withColumn(
+    shifted = waiting.join(F.broadcast(shift) if few else shift, "source_key", "left").withColumn(
         "p", F.when((F.col("p") > 0) & (F.col("p") < 1), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") + F.coalesce("shift", F.lit(0.0))))).otherwise(F.col("p"))
     )
     late = _reduced(shifted.select(*[f.split()[0] for f in STATE.split(", ")]), buckets)
     settled = early.unionByName(late).select("source_key", "doc_id", "size", "copies")
     back = plan.select(_source_key(), "source", "source_size", "target")
-    return settled.join(back, "source_key").select("doc_id", "source", "size", "source_size", "target", "copies")
+    return settled.join(F.broadcast(back) if few else back, "source_key").select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def _source_key() -> Column:
