@@ -115,10 +115,10 @@ def j5_apply_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with src as ({X.MD_CONV_SQL}), li as (select doc_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) - 1 as n from src),
 b as (select *, sum(case when regexp_matches(line, '^#{{1,6}} ') then 1 else 0 end) over (partition by doc_id order by n) as k from li),
 g as (select doc_id, row_number() over (partition by doc_id order by k) - 1 as block, string_agg(line, chr(10) order by n) as content from b group by doc_id, k)
-select doc_id, string_agg(case when block % 2 = 0 then upper(left(content, 20)) else content end, chr(10) order by block) as content from g group by doc_id""")
+select doc_id, string_agg(case when block % 2 = 0 then '[' || left(content, 20) || ']' else content end, chr(10) order by block) as content from g group by doc_id""")
 def j6_apply_block_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = K.split_blocks(X.md_conv(spark, sf_dir))
-    results = blocks.where("block % 2 = 0").select("doc_id", "block", F.upper(F.left("content", F.lit(20))).alias("content"))
+    results = blocks.where("block % 2 = 0").select("doc_id", "block", F.concat(F.lit("["), F.left("content", F.lit(20)), F.lit("]")).alias("content"))
     return K.join_blocks(E.apply_block_enrichment(blocks, results))
 
 
