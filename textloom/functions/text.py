@@ -68,7 +68,7 @@ def suffix_prefix_overlap(a: Column, b: Column, cap: int | None = None) -> Colum
     """The largest n for which the last n characters of a are the first n of b; 0 if none."""
     most = F.least(F.length(a), F.length(b), *([F.lit(cap)] if cap else []))
     lengths = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.array_max(F.filter(lengths, lambda n: F.right(a, n) == F.left(b, n))), F.lit(0))
+    return F.coalesce(F.array_max(F.filter(lengths, lambda n: F.endswith(a, F.left(b, n)))), F.lit(0))
 
 
 def strip_fence(c: Column, language: str) -> Column:

@@ -27,7 +27,9 @@ def _total(lengths: Column) -> Column:
 
 
 def _exploded(df: DataFrame, chunks: str = "_chunks") -> DataFrame:
-    rows = df.select("doc_id", *[c for c in df.columns if c.startswith("_keep_")], F.posexplode(chunks).alias("chunk_index", "_c"))
+    rows = df.select("doc_id", *[c for c in df.columns if c.startswith("_keep_")], F.posexplode_outer(chunks).alias("chunk_index", "_c"))
+    # The outer form, as the inner one makes the optimizer repeat the whole expression in a filter below.
+    rows = rows.where("chunk_index IS NOT NULL")
     rest = [F.col(c).alias(c.removeprefix("_keep_")) for c in df.columns if c.startswith("_keep_")]
     end = F.col("_c.start") + F.length("_c.content")
     return rows.select("doc_id", *rest, "chunk_index", F.col("_c.content").alias("content"), F.col("_c.start").alias("start"), end.alias("end"), T.token_count(F.col("_c.content")).alias("token_count"))

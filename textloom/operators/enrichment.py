@@ -128,7 +128,7 @@ def enrichment_summary(results: DataFrame) -> DataFrame:
 
 def tfidf_keywords(chunks: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, chunk_index, term, score, rank: the k best terms of each chunk by tf * ln(N / df), ties by term."""
-    terms = chunks.select("doc_id", "chunk_index", F.explode(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{3,}"), F.lit(0))).alias("term"))
+    terms = chunks.select("doc_id", "chunk_index", F.explode_outer(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{3,}"), F.lit(0))).alias("term")).where("term IS NOT NULL")
     tf = terms.groupBy("doc_id", "chunk_index", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = chunks.agg(F.count("*").alias("n"))
