@@ -162,3 +162,26 @@ def test_picture_edges(spark):
     got = {r["media_id"]: r["component_id"] for r in media.media_copies(spark.createDataFrame(rows, schema).withColumn("word", F.lit(1))).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
     assert media.media_copies(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_copies_far_apart(spark, monkeypatch):
+    """Each two of five crops of a picture get the votes that they get without the others between their ids."""
+    base = media.picture(np.random.default_rng(11).normal(size=64))
+    crops = [np.ascontiguousarray(base[y : y + 80, x : x + 80]) for y, x in ((0, 0), (4, 8), (8, 4), (12, 12), (16, 2))]
+    rows = [(1_000 * (i + 1), p.tobytes(), 80, 80) for i, p in enumerate(crops)]
+    links = lambda own: {(r["a"], r["b"]): r["votes"] for r in media.copy_links(spark.createDataFrame(own, "media_id long, image binary, width int, height int"))[1].collect()}
+    votes = links(rows)
+    for i, j in ((1, 3), (2, 4)):
+        alone = links([rows[i], rows[j]])
+        assert alone and alone.items() <= votes.items()
+    monkeypatch.setattr(media, "BLOCK_ROWS", 2, raising=False)
+    assert links(rows) == votes
+
+
+def test_corners_grow_with_area():
+    small, large = (media.picture(np.random.default_rng(12).normal(size=64), side) for side in (media.SIDE, 4 * media.SIDE))
+    found, most = len(media.describe(large.astype(np.float64))[0]), sum(media.SCALES.values())
+    assert len(media.describe(small.astype(np.float64))[0]) <= most < found <= 16 * most + len(media.SCALES)
+    far = np.array([[9_000.0, 12_000.0, 0.0, 1.0]])
+    at = int(media.packed_points(far)[0])
+    assert (at >> 36 & 0xFFFFF, at >> 16 & 0xFFFFF) == (9_000, 12_000)
