@@ -76,6 +76,24 @@ def test_toxicity_edges(spark):
     assert rows[3]["predicted"] == 1 and rows[3]["spans"].startswith("0:5,8:13") and rows[1]["predicted"] == 0
 
 
+def test_toxicity_trains_on_both_classes(spark):
+    """More toxic texts than any bound on rows leaves room for: the clean ones still keep a word of both classes from being a mark."""
+    n, clean = 3_800, 5_000
+    texts = [(i, "plain words with filler and idiot and maybe there " * 3 + str(i), 1) for i in range(n)]
+    texts += [(n + i, f"plain words with filler and {'maybe' if i % 3 == 0 else 'other'} there {n + i}", 0) for i in range(clean)]
+    sample = spark.createDataFrame(texts, "sample_id long, text string, label int")
+    docs, labels = sample.select(F.col("sample_id").alias("doc_id"), "text"), sample.select(F.col("sample_id").alias("doc_id"), F.col("label").alias("toxic"))
+    fitted = {}
+    inner, crf.fit = crf.fit, lambda *rows, **more: fitted.update(y=rows[2], n=len(rows[1])) or inner(*rows, **more)
+    try:
+        model = toxicity.fit(docs, labels)
+    finally:
+        crf.fit = inner
+    assert (fitted["y"].sum(axis=1) == 0).sum() >= clean  # every clean text gives a window or more
+    got = toxicity.toxicity_scores(spark.createDataFrame([(1, "plain words with filler and maybe there"), (2, "you idiot " * 3)], "doc_id long, text string"), model)
+    assert {r["doc_id"]: r["predicted"] for r in got.collect()} == {1: 0, 2: 1}
+
+
 def test_perplexity_sums_to_one(spark):
     rng = np.random.default_rng(3)
     texts = ["".join(rng.choice(list("abc "), 60)) for _ in range(30)]

@@ -2,7 +2,7 @@
 
 1. Labelled tokens: over a bounded sample of labelled documents, Spark counts in how many toxic and clean texts each word and word
    beginning occurs. Tokens of toxic documents that carry a clearly toxic feature are labelled toxic, all others clean.
-2. A chain with two labels is fitted on windows of those tokens; its features are the counted ones.
+2. A chain with two labels is fitted on windows of those tokens, of every text of the sample; its features are the counted ones.
 3. Scoring runs over whole texts. Tokens without a feature share one emission, so a run of them is a power of one 2 by 2 matrix and
    forward-backward stays exact while it visits only tokens with features. The chance that any token is toxic, calibrated on the
    sample, is the score; tokens with a marginal of MARK or more are the offending spans.
@@ -28,10 +28,10 @@ from textloom.llm import crf
 from textloom.llm import textscan as ts
 from textloom.llm.shared import hash_sample
 
-SAMPLE = {1: 4_000, 0: 8_000}  # labelled documents of each class that the chain is fitted on, at most
+SAMPLE = {1: 4_000, 0: 8_000}  # labelled documents of each class that the chain is fitted on, at most; all windows of these are used
 MAX_FEATURES = 4_096
 WINDOW = 24
-MAX_WINDOWS = 12_000
+TEXT_WINDOWS = 4  # around three toxic tokens at most, and a plain one: so the windows are bounded by class with SAMPLE
 PREFIXES = (4, 5, 6)
 K = 1 + len(PREFIXES)
 MARK = 0.5
@@ -160,18 +160,41 @@ def toxic_features(sample: DataFrame, totals: tuple[int, int]) -> list[str]:
     return sorted(r["feature"] for r in chosen.collect())
 
 
-def _windows(texts: list[tuple[str, int]], index: dict[str, int]) -> tuple[list, list]:
-    """Feature windows and labels: around toxic tokens, and one plain window of every text."""
-    sequences, labels = [], []
-    for number, (text, label) in enumerate(texts):
-        words = _WORD.findall(text.lower())
-        found = [[index[f] for f in token_features(w) if f in index] for w in words]
-        hits = [i for i, f in enumerate(found) if f]
-        starts = {max(0, i - WINDOW // 2) for i in hits[:: max(1, len(hits) // 3)][:3]} | ({(number * 7_919) % max(1, len(words) - WINDOW)} if words else set())
-        for s in sorted(starts):
-            sequences.append(found[s : s + WINDOW])
-            labels.append([int(bool(label and f)) for f in sequences[-1]])
-    return sequences[:MAX_WINDOWS], labels[:MAX_WINDOWS]
+def _windows(text: str, label: int, draw: int, index: dict[str, int]) -> tuple[list, list]:
+    """Feature windows and labels of one text: around toxic tokens, and a plain one where draw says."""
+    words = _WORD.findall(text.lower())
+    found = [[index[f] for f in token_features(w) if f in index] for w in words]
+    hits, most = [i for i, f in enumerate(found) if f], TEXT_WINDOWS - 1
+    starts = {max(0, i - WINDOW // 2) for i in hits[:: max(1, len(hits) // most)][:most]} | ({draw % max(1, len(words) - WINDOW)} if words else set())
+    sequences = [found[s : s + WINDOW] for s in sorted(starts)]
+    return sequences, [[int(bool(label and f)) for f in own] for own in sequences]
+
+
+def _cut_windows(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for b in ts.slices(batches, "text"):
+            rows = [
+                (draw, label, crf.padded([own], K)[0].astype("<i4").tobytes(), bytes(gold))
+                for text, label, draw in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), b.column("draw").to_pylist())
+                for own, gold in zip(*_windows(text, label, draw, index))
+            ]
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["draw", "label", "features", "gold"])
+
+    return run
+
+
+def training_windows(sample: DataFrame, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, lengths, token labels and text labels of all windows of the sample, which are cut beside its texts."""
+    drawn = sample.select("label", F.xxhash64("text", "label").alias("draw"), "text")
+    cut = drawn.mapInArrow(_cut_windows(sample.sparkSession.sparkContext.broadcast(index)), "draw long, label int, features binary, gold binary")
+    rows = sorted(tuple(r) for r in cut.collect())  # TEXT_WINDOWS * sum(SAMPLE.values()) rows at most
+    features, y = np.zeros((len(rows), WINDOW, K), dtype=np.int32), np.zeros((len(rows), WINDOW), dtype=np.int64)
+    for i, (_, _, own, gold) in enumerate(rows):
+        features[i, : len(gold)] = np.frombuffer(bytes(own), dtype="<i4").reshape(-1, K)[: len(gold)]
+        y[i, : len(gold)] = np.frombuffer(bytes(gold), dtype=np.uint8)
+    return features, np.array([len(r[3]) for r in rows], dtype=np.int64), y, np.array([r[1] for r in rows], dtype=np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", keep: Column | None = None) -> Model:
@@ -188,12 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         if not names:
             return Model({}, empty, 0.0, float(rate))
         index = {f: i + 1 for i, f in enumerate(names)}
-        rows = [(r["text"], r["label"]) for r in sample.orderBy(F.desc("label"), F.xxhash64("sample_id")).limit(6_000).toLocalIterator()]
-        sequences, gold = _windows(rows, index)
-        features, lengths = crf.padded(sequences, K)
-        y = np.zeros(features.shape[:2], dtype=np.int64)
-        for i, g in enumerate(gold):
-            y[i, : len(g)] = g
+        features, lengths, y, _ = training_windows(sample, index)
         used = lengths > 0
         chain = crf.fit(features[used], lengths[used], y[used], len(names))
         model = Model(index, chain, 1.0, 0.0)
