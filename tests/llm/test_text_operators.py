@@ -205,6 +205,11 @@ def test_packing_round_trip(spark, documents, monkeypatch):
     assert sequences <= 1.05 * -(-tokens // 2048)
 
 
+def test_packing_of_null_ids(spark):
+    check_packing(spark, frame(spark))
+    check_packing(spark, frame(spark, [*EDGES, (None, "no id here at all", "fr", "c", 5, 1), (None, None, None, None, None, None), (0, "zero", "en", "a", 1, 1)]))
+
+
 def test_best_fit_is_valid():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 100) for _ in range(500)]

@@ -5,7 +5,7 @@ becomes one item, carrying its pieces, of the next level, where FAN_IN groups me
 levels form a tree. Every group passes at most CARRY bins on, the emptiest ones, which still have room for others; the
 rest leave as they are. So no task holds more than FAN_IN * CARRY bins, however large the corpus, and no piece is lost.
 
-Null and empty texts give one piece with only the closing id. Documents with equal ids stay separate pieces. An empty table gives an
+Null and empty texts give one piece with only the closing id. Documents with equal or null ids stay separate pieces. An empty table gives an
 empty result. Only the named columns are read.
 """
 
@@ -85,7 +85,7 @@ def _pack_group(capacity: int, last: bool):
     least = int(NEARLY_FULL * capacity)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [(p[0]["doc_id"], p[0]["piece"], p[0]["start"]) for p in rows["pieces"]]
+        keys = [(p[0]["doc_id"] is None, p[0]["doc_id"] or 0, p[0]["piece"], p[0]["start"]) for p in rows["pieces"]]  # null ids last
         order = sorted(range(len(rows)), key=lambda i: keys[i])
         sizes = [int(rows["fill"].iat[i]) for i in order]
         pieces = [rows["pieces"].iat[i] for i in order]
