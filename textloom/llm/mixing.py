@@ -25,14 +25,15 @@ from textloom.llm.shared import saved
 BUCKET_ROWS = 20_000
 FAN_IN = 64
 BROADCAST_SOURCES = 50_000
+NULL_ID = -(1 << 63)  # stands for null ids while rows are rounded; rows that share it are told apart by their ordinal
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 STATE = "source_key string, bucket long, doc_id long, ordinal long, size long, p double, copies long, open boolean, missing double"
 
 
-def word_sizes(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """doc_id, source, size: one row per document, texts read once."""
+def word_sizes(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", *more: str) -> DataFrame:
+    """doc_id, source, size and the columns named in more: one row per document, texts read once."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    return docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"))
+    return docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), *more)
 
 
 def targets(sizes: DataFrame, weight: Column, most: float = 3.0) -> DataFrame:
@@ -131,6 +132,16 @@ def mix_sources(docs: DataFrame, weight: Column, most: float = 3.0, text: str =
 
     weight is a column over ``place``; see targets(). Shuffles carry ids and sizes, never texts.
     """
+    return _mixed(docs, weight, most, text, source, key).withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).drop("ordinal")
+
+
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """Rows with the same id, source and size told apart by their number among equals, whichever comes first."""
+    known = sizes.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    return known.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(1))).cast("long"))
+
+
+def _mixed(docs: DataFrame, weight: Column, most: float, text: str, source: str, key: str) -> DataFrame:
     sizes = saved(word_sizes(docs, text, source, key))
     rows = sizes.count()
     buckets = max(1, -(-rows // BUCKET_ROWS))
@@ -139,8 +150,7 @@ def mix_sources(docs: DataFrame, weight: Column, most: float = 3.0, text: str =
     # One row per source: broadcast while there are few, which also keeps a source with a third of all rows spread over tasks.
     few = plan.count() <= BROADCAST_SOURCES
     recipe = plan.join(means, plan["source"].eqNullSafe(means["source"])).select(plan["source"], "wanted", "mean_size")
-    # Rows with the same id and size are told apart by their number among equals, whichever comes first.
-    numbered = sizes.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(1))).cast("long"))
+    numbered = _numbered(sizes)
     recipe = F.broadcast(recipe) if few else recipe
     joined = numbered.join(recipe, numbered["source"].eqNullSafe(recipe["source"])).drop(recipe["source"])
     whole = F.floor("wanted")
@@ -163,9 +173,9 @@ def mix_sources(docs: DataFrame, weight: Column, most: float = 3.0, text: str =
         "p", F.when((F.col("p") > 0) & (F.col("p") < 1), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") + F.coalesce("shift", F.lit(0.0))))).otherwise(F.col("p"))
     )
     late = _reduced(shifted.select(*[f.split()[0] for f in STATE.split(", ")]), buckets)
-    settled = early.unionByName(late).select("source_key", "doc_id", "size", "copies")
+    settled = early.unionByName(late).select("source_key", "doc_id", "ordinal", "size", "copies")
     back = plan.select(_source_key(), "source", "source_size", "target")
-    return settled.join(F.broadcast(back) if few else back, "source_key").select("doc_id", "source", "size", "source_size", "target", "copies")
+    return settled.join(F.broadcast(back) if few else back, "source_key").select("doc_id", "source", "size", "source_size", "target", "copies", "ordinal")
 
 
 def _source_key() -> Column:
@@ -173,11 +183,14 @@ def _source_key() -> Column:
 
 
 def mixed_documents(docs: DataFrame, weight: Column, most: float = 3.0, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; key is unique in docs."""
+    """The rows of docs, each as often as the mix takes it; ids may be null or shared, as rows of one id, source and size are numbered."""
     names = docs.columns
-    copies = mix_sources(docs, weight, most, text, source, key).where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.sequence(F.lit(1), F.col("copies")).alias("mix_copies"))
-    rows = docs.join(copies, docs[key].cast("long") == copies["mix_id"])
-    return rows.withColumn("mix_copy", F.explode("mix_copies")).select(*names)
+    copies = _mixed(docs, weight, most, text, source, key).where("copies > 0").select(
+        F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), F.col("ordinal").alias("mix_ordinal"), F.sequence(F.lit(1), F.col("copies")).alias("mix_copies")
+    )
+    rows = _numbered(word_sizes(docs.withColumn("mix_row", F.struct(*names)), text, source, key, "mix_row"))
+    same = (rows["doc_id"] == copies["mix_id"]) & rows["source"].eqNullSafe(copies["mix_source"]) & (rows["size"] == copies["mix_size"]) & (rows["ordinal"] == copies["mix_ordinal"])
+    return rows.join(copies, same).withColumn("mix_copy", F.explode("mix_copies")).select("mix_row.*")
 
 
 def cycle_123() -> Column:
