@@ -210,6 +210,17 @@ def test_packing_of_null_ids(spark):
     check_packing(spark, frame(spark, [*EDGES, (None, "no id here at all", "fr", "c", 5, 1), (None, None, None, None, None, None), (0, "zero", "en", "a", 1, 1)]))
 
 
+def test_gradients_see_every_position(monkeypatch):
+    seen, inner = Counter(), maxent_lm.train_batch
+    monkeypatch.setattr(maxent_lm, "train_batch", lambda w, s, b, buckets, targets: seen.update(n=len(targets)) or inner(w, s, b, buckets, targets))
+    classes = pa.array(range(maxent_lm.GROUPS)).to_numpy() % maxent_lm.CLASSES
+    weights = classes[: maxent_lm.CLASSES].astype("float32") * 0
+    shared = type("Shared", (), {"value": (weights + weights[:1].repeat(maxent_lm.BUCKETS)[:, None], weights, classes)})
+    texts = ["one two three four five six", "", None, "seven " * 5_000]
+    run = maxent_lm._gradient_round(shared, *[0] * (maxent_lm._gradient_round.__code__.co_argcount - 1))
+    assert len(list(run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))) and seen["n"] == 6 + 5_000 + len(texts)
+
+
 def test_best_fit_is_valid():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 100) for _ in range(500)]
