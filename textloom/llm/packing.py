@@ -5,13 +5,15 @@ becomes one item, carrying its pieces, of the next level, where FAN_IN groups me
 levels form a tree. Every group passes at most CARRY bins on, the emptiest ones, which still have room for others; the
 rest leave as they are. So no task holds more than FAN_IN * CARRY bins, however large the corpus, and no piece is lost.
 
-Null and empty texts give one piece with only the closing id. Documents with equal or null ids stay separate pieces. An empty table gives an
-empty result. Only the named columns are read.
+Null and empty texts give one piece with only the closing id. Documents with equal or null ids and repeated rows stay separate pieces, dealt
+to groups by row and not by id; pieces of one size go in the order of their ids, null last. A long text is tokenized whole and cut into pieces of the
+capacity. An empty table gives an empty result. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +34,7 @@ CARRY = 2_000
 NEARLY_FULL = 0.995
 
 PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
-BINS = f"bin_group long, fill long, pieces array<{PIECE}>, done boolean"
+BINS = f"bin_group long, fill long, pieces array<{PIECE}>, offsets array<bigint>, done boolean"
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -97,23 +99,24 @@ def _pack_group(capacity: int, last: bool):
             stays = not last and fill < least and carried < CARRY
             carried += stays
             done.append(not stays)
-        return pd.DataFrame({"bin_group": rows["bin_group"].iat[0], "fill": [f for f, _ in made], "pieces": [p for _, p in made], "done": done})
+        offsets = [[0, *itertools.accumulate(x["length"] for x in p[:-1])] if d else [] for (_, p), d in zip(made, done)]
+        return pd.DataFrame({"bin_group": rows["bin_group"].iat[0], "fill": [f for f, _ in made], "pieces": [p for _, p in made], "offsets": offsets, "done": done})
 
     return run
 
 
 def pack_bins(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """fill, pieces: one row per sequence. pieces must be computed already, as it is read twice."""
+    """fill, pieces, offsets: one row per sequence. pieces must be computed already, as it is read twice."""
     item = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
-    whole = pieces.where(F.col("length") >= capacity).select(F.col("length").alias("fill"), F.array(item).alias("pieces"))
+    whole = pieces.where(F.col("length") >= capacity).select(F.col("length").alias("fill"), F.array(item).alias("pieces"), F.array(F.lit(0).cast("long")).alias("offsets"))
     rest = pieces.where(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // GROUP_ITEMS))
-    state = rest.select(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("bin_group"), F.col("length").alias("fill"), F.array(item).alias("pieces"))
+    state = rest.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("bin_group"), F.col("length").alias("fill"), F.array(item).alias("pieces"))
     out = whole
     while True:
         last = groups == 1
         packed = saved(state.groupBy("bin_group").applyInPandas(_pack_group(capacity, last), BINS))
-        out = out.unionByName(packed.where("done").select("fill", "pieces"))
+        out = out.unionByName(packed.where("done").select("fill", "pieces", "offsets"))
         if last:
             return out
         state = packed.where(~F.col("done")).select(F.floor(F.col("bin_group") / FAN_IN).alias("bin_group"), "fill", "pieces")
@@ -127,6 +130,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     """
     pieces = saved(token_pieces(docs, tokenizer_path, capacity, text, key))
     bins = saved(pack_bins(pieces, capacity).withColumn("sequence_id", F.monotonically_increasing_id()))
-    before = lambda i: F.aggregate(F.slice("pieces", F.lit(1), i), F.lit(0).cast("long"), lambda acc, x: acc + x["length"])
-    placed = F.transform("pieces", lambda p, i: F.struct(p.alias("p"), before(i).alias("offset")))
-    return bins.select("sequence_id", F.explode(placed).alias("x")).select("x.p.doc_id", "x.p.piece", "x.p.start", "x.p.length", "x.p.ids_crc32", "sequence_id", "x.offset")
+    placed = F.arrays_zip(F.col("pieces").alias("p"), F.col("offsets").alias("offset"))
+    return bins.select("sequence_id", F.explode(placed).alias("x")).select("x.p.doc_id", "x.p.piece", "x.p.start", "x.p.length", "x.p.ids_crc32", "sequence_id", F.col("x.offset").alias("offset"))
