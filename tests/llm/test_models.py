@@ -1,6 +1,7 @@
 """The trained operators and the pictures: exact inference against enumeration, held-out accuracy, known copies, edge tables."""
 
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -94,18 +95,54 @@ def test_toxicity_trains_on_both_classes(spark):
     assert {r["doc_id"]: r["predicted"] for r in got.collect()} == {1: 0, 2: 1}
 
 
-def test_perplexity_sums_to_one(spark):
+def plain_kneser_ney(trusted, order=5):
+    """log10 probability of a text by the textbook: counts of padded n-grams, continuation counts, three discounts, interpolation."""
+    grams = {order: Counter((bytes(order) + t.encode())[i : i + order] for t in trusted for i in range(1, len(t.encode()) + 1))}
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    cut, total, freed = {}, {}, {}
+    for k, counts in grams.items():
+        n = Counter(counts.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else None
+        raw = (1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5) if y else (0.5,) * 3
+        cut[k] = [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)] if y else raw
+        total[k], freed[k] = Counter(), Counter()
+        for g, c in counts.items():
+            total[k][g[:-1]] += c
+            freed[k][g[:-1]] += cut[k][min(c, 3) - 1]
+
+    def chance(g):
+        if not g:
+            return 1 / 256
+        k, below = len(g), chance(g[1:])
+        if not total[k][g[:-1]]:
+            return below
+        c = grams[k][g]
+        return (max(c - cut[k][min(c, 3) - 1], 0) if c else 0) / total[k][g[:-1]] + freed[k][g[:-1]] / total[k][g[:-1]] * below
+
+    return chance, lambda t: sum(np.log10(chance((bytes(order) + t.encode())[i : i + order])) for i in range(1, len(t.encode()) + 1))
+
+
+def test_perplexity_matches_plain_model(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    texts = ["".join(rng.choice(list("abc "), 60)) for _ in range(30)]
+    texts = ["".join(rng.choice(list("abcé d"), 60)) for _ in range(30)] + ["same words here"] * 3
+    others = ["", "abca", "zzzz zz", "é d" * 40, "日本 ab", "a", "a", None]
+    chance, plain = plain_kneser_ney(texts)
+    for context in (b"abca", b"zzzz", b"\0\0\0a", bytes(4)):
+        assert sum(chance(context + bytes([b])) for b in range(256)) == pytest.approx(1)
     model = kneser_ney.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
-    for context in ("abca", "zzzz", "ab", ""):
-        total = 0.0
-        for b in range(256):
-            t = ts.Texts.__new__(ts.Texts)  # single bytes need not be text
-            t.bytes = np.frombuffer(context.encode() + bytes([b]), dtype=np.uint8)
-            t.offsets, t.n = np.array([0, len(t.bytes)]), 1
-            total += 10 ** kneser_ney.log_probabilities(t, model)[-1]
-        assert total == pytest.approx(1, abs=1e-3), context
+    docs = spark.createDataFrame(list(enumerate(texts + others)), "doc_id long, text string")
+    for head in (kneser_ney.HEAD_GRAMS, 40, 0):  # all in the head, some, none
+        monkeypatch.setattr(kneser_ney, "HEAD_GRAMS", head)
+        got = {r["doc_id"]: r["log10_prob"] for r in kneser_ney.log_probabilities(docs, model).collect()}
+        assert all(got[i] == pytest.approx(plain(t or ""), abs=1e-4) for i, t in enumerate(texts + others))
+
+
+def test_head_finds_exactly_its_keys(monkeypatch):
+    monkeypatch.setattr(kneser_ney, "HEAD_BITS", 6)  # crowded: both places are often taken
+    grams = np.unique(np.random.default_rng(5).integers(0, 1 << 40, 300, dtype=np.uint64))
+    head = kneser_ney.Head(grams[:150], np.arange(150.0))
+    assert (head(grams[:150]) == np.arange(150)).all() and np.isnan(head(np.append(grams[150:], np.uint64(0)))).all()
 
 
 def test_perplexity_separates_quality(spark):
