@@ -223,15 +223,79 @@ def test_plain_words_match_the_whole_tokenizer():
         assert quick.packed_ids(text) == b"".join(i.to_bytes(4, "little") for i in whole.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def tiny_model(seed=0):
+    """A model with random weights over a small vocabulary, and the counts behind it."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(seed)
+    counts = Counter({f"w{i}x{'abc'[i % 3]}": 1 + 400 // (i + 1) for i in range(300)})
+    t = maxent_lm.Tokens(pa.array([" ".join(counts)]))
+    classes = np.append(rng.integers(0, maxent_lm.CLASSES - 1, maxent_lm.GROUPS - 1), maxent_lm.CLASSES - 1)
+    rows = pd.DataFrame({"word": t.hashes[:-1].view("int64"), "ending": t.groups[:-1], "n": list(counts.values())})
+    by_ending = [{"ending": e, "n": int(g["n"].sum()), "types": len(g)} for e, g in rows.groupby("ending")]
+    bias, out_bias, rest, words, outputs = maxent_lm.biases(classes, by_ending, rows[rows["n"] > 2])
+    weights = rng.normal(size=(2, 1 << 13, maxent_lm.CLASSES)).astype("float32")
+    return maxent_lm.Model(weights, bias, out_bias, classes, words, outputs, rest), counts
+
+
+def test_lm_chances_sum_to_one():
+    import numpy as np
+
+    model, counts = tiny_model()
+    for history in ("", "w1xb w2xc", "never seen w0xa"):
+        t = maxent_lm.Tokens(pa.array([f"{history} {w}" for w in counts] + [history]))
+        lp, out = model.log_probs(t)
+        last = np.append(np.flatnonzero(t.place == len(history.split()))[: len(counts)], len(t.place) - 1)
+        assert len(last) == len(counts) + 1
+        n = np.array([*counts.values(), 0])
+        own = model.classes[t.groups[last]]
+        others = np.where(out[last] < maxent_lm.OUTPUTS - 1, 1.0, (n + 0.5) / 10 ** model.rest[own])
+        known = (np.exp(lp[last]) * others)[:-1].sum()
+        # An unseen word of each class: half a count of what its others share; the end is the only word of the last class, and unseen here.
+        by_class, _ = model.features(t, model.classes[t.groups])
+        i = last[-1:]
+        class_lp = maxent_lm.log_softmax(model.weights[0], model.bias, [f[i] for f in by_class])[0]
+        unseen = 0.0
+        for c in range(maxent_lm.CLASSES):
+            fake = model.classes[t.groups].copy()
+            fake[i] = c
+            _, by_word = model.features(t, fake)
+            inner = maxent_lm.log_softmax(model.weights[1], model.out_bias[c][None, :], [f[i] for f in by_word])[0, -1]
+            unseen += np.exp(class_lp[c] + inner) * 0.5 / 10 ** model.rest[c]
+        assert known + unseen == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_steps_follow_the_gradient():
+    """One step from no weights is the plain gradient of the log loss by feature."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n, size = 50, 16
+    buckets = [rng.integers(0, size, n).astype(np.uint16)]
+    targets, bias = rng.integers(0, maxent_lm.CLASSES, n), rng.normal(size=maxent_lm.CLASSES).astype(np.float32)
+    weights, squares, used = np.zeros((size, maxent_lm.CLASSES), np.float32), np.zeros(size, np.float32), np.zeros(size, np.int64)
+    maxent_lm.train_batch(weights, squares, used, bias, buckets, targets)
+    p = np.exp(bias) / np.exp(bias).sum()
+    for b in range(size):
+        mine = targets[buckets[0] == b]
+        g = len(mine) * p - np.bincount(mine, minlength=maxent_lm.CLASSES)
+        assert used[b] == len(mine) and np.allclose(weights[b], -maxent_lm.RATE / np.sqrt((g * g).mean() + 1) * g, atol=1e-4)
+
+
 def test_gradients_see_every_position(monkeypatch):
     seen, inner = Counter(), maxent_lm.train_batch
-    monkeypatch.setattr(maxent_lm, "train_batch", lambda w, s, b, buckets, targets: seen.update(n=len(targets)) or inner(w, s, b, buckets, targets))
-    classes = pa.array(range(maxent_lm.GROUPS)).to_numpy() % maxent_lm.CLASSES
-    weights = classes[: maxent_lm.CLASSES].astype("float32") * 0
-    shared = type("Shared", (), {"value": (weights + weights[:1].repeat(maxent_lm.BUCKETS)[:, None], weights, classes)})
+    monkeypatch.setattr(maxent_lm, "train_batch", lambda w, s, u, bias, buckets, targets: seen.update(n=len(targets)) or inner(w, s, u, bias, buckets, targets))
+    model, _ = tiny_model()
     texts = ["one two three four five six", "", None, "seven " * 5_000]
-    run = maxent_lm._gradient_round(shared, *[0] * (maxent_lm._gradient_round.__code__.co_argcount - 1))
-    assert len(list(run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))) and seen["n"] == 6 + 5_000 + len(texts)
+    run = maxent_lm._gradient_round(type("Shared", (), {"value": model}))
+    assert len(list(run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))) and seen["n"] == 2 * (6 + 5_000 + len(texts))  # both factors
+
+
+def test_lm_without_training_text(spark):
+    docs = spark.createDataFrame([(i, "some words") for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1] + [(None, None)][:0], "doc_id long, text string")
+    got = maxent_lm.lm_scores(docs).collect()
+    assert got and all(r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == pytest.approx(0) and r["score"] < 0 for r in got)
 
 
 def test_best_fit_is_valid():
