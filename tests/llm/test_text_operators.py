@@ -255,13 +255,14 @@ def test_lm_chances_sum_to_one():
         # An unseen word of each class: half a count of what its others share; the end is the only word of the last class, and unseen here.
         by_class, _ = model.features(t, model.classes[t.groups])
         i = last[-1:]
-        class_lp = maxent_lm.log_softmax(model.weights[0], model.bias, [f[i] for f in by_class])[0]
+        softmax = lambda *of: (lambda x, e, total: np.log(e / total[:, None]))(*maxent_lm.exponentials(*of))
+        class_lp = softmax(model.weights[0], model.bias, [f[i] for f in by_class])[0]
         unseen = 0.0
         for c in range(maxent_lm.CLASSES):
             fake = model.classes[t.groups].copy()
             fake[i] = c
             _, by_word = model.features(t, fake)
-            inner = maxent_lm.log_softmax(model.weights[1], model.out_bias[c][None, :], [f[i] for f in by_word])[0, -1]
+            inner = softmax(model.weights[1], model.out_bias[c][None, :], [f[i] for f in by_word])[0, -1]
             unseen += np.exp(class_lp[c] + inner) * 0.5 / 10 ** model.rest[c]
         assert known + unseen == pytest.approx(1, abs=1e-4)
 
@@ -283,6 +284,16 @@ def test_lm_steps_follow_the_gradient():
         assert used[b] == len(mine) and np.allclose(weights[b], -maxent_lm.RATE / np.sqrt((g * g).mean() + 1) * g, atol=1e-4)
 
 
+def test_segment_sums():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    keys = np.sort(np.concatenate([rng.integers(0, 200, 300), np.full(100, 7), [500]]))
+    values = rng.normal(size=(len(keys), 3))
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    assert np.allclose(maxent_lm.segment_sums(values, first), np.add.reduceat(values, first, axis=0))
+
+
 def test_gradients_see_every_position(monkeypatch):
     seen, inner = Counter(), maxent_lm.train_batch
     monkeypatch.setattr(maxent_lm, "train_batch", lambda w, s, u, bias, buckets, targets: seen.update(n=len(targets)) or inner(w, s, u, bias, buckets, targets))
