@@ -142,12 +142,28 @@ def test_join_matches_brute_force(spark, documents, monkeypatch):
     rows = [(r[0], r[1]) for r in EDGES] + near_copies(1, 60) + near_copies(2, 25) + [(5_000 + i, f"a shared passage of words that many texts hold {i} own {i * 7} end {i * 3}") for i in range(40)]
     rows += [(10_000 + r["doc_id"], r["text"]) for r in documents.collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("set_id", F.lit("x")).withColumn("n", F.lit(1))
-    for sets in (2_048, 16):
-        monkeypatch.setattr(ngram_join, "BLOCK_SETS", sets)
-        got = Counter(tuple(r) for r in ngram_join.similarity_components(docs).select("doc_id", "n_shingles", "component_id").collect())
-        assert got == brute_components(rows)
-    kept = ngram_join.without_near_copies(docs.where("doc_id IS NOT NULL"))
-    assert kept.columns == docs.columns
+    expected = brute_components(rows)
+    for settings in ({}, {"BLOCK_SETS": 16, "SMALL_FAMILY": 4, "PIVOTS": 2, "CELL_SETS": 8}, {"SMALL_FAMILY": 10, "BROADCAST_ROWS": 0, "FRAGMENTS": 7}):
+        with monkeypatch.context() as set_to:
+            for name, value in settings.items():
+                set_to.setattr(ngram_join, name, value)
+            got = Counter(tuple(r) for r in ngram_join.similarity_components(docs).select("doc_id", "n_shingles", "component_id").collect())
+        assert got == expected, settings
+    kept = ngram_join.without_near_copies(docs.withColumn("a.b", F.lit(1)).withColumn("near_row", F.lit(2)))
+    assert kept.columns == [*docs.columns, "a.b", "near_row"]
+    assert {r["doc_id"] for r in kept.collect()} >= {k[2] for k in expected}
+
+
+def test_overlap_kernels():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(30)]
+    plain = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (ngram_join.dense_overlaps(sets[:12], sets) == plain[:12]).all()
+    families = np.arange(30) % 4
+    found = {(i, j): k for i, j, k in zip(*(x.tolist() for x in ngram_join.sparse_overlaps(families, sets)))}
+    assert found == {(i, j): plain[i, j] for i in range(30) for j in range(i + 1, 30) if families[i] == families[j] and plain[i, j]}
 
 
 def test_join_groups_over_batches():
