@@ -219,18 +219,44 @@ def test_picture_edges(spark):
     assert media.media_copies(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_copies_far_apart(spark, monkeypatch):
-    """Each two of five crops of a picture get the votes that they get without the others between their ids."""
-    base = media.picture(np.random.default_rng(11).normal(size=64))
-    crops = [np.ascontiguousarray(base[y : y + 80, x : x + 80]) for y, x in ((0, 0), (4, 8), (8, 4), (12, 12), (16, 2))]
-    rows = [(1_000 * (i + 1), p.tobytes(), 80, 80) for i, p in enumerate(crops)]
-    links = lambda own: {(r["a"], r["b"]): r["votes"] for r in media.copy_links(spark.createDataFrame(own, "media_id long, image binary, width int, height int"))[1].collect()}
-    votes = links(rows)
-    for i, j in ((1, 3), (2, 4)):
-        alone = links([rows[i], rows[j]])
-        assert alone and alone.items() <= votes.items()
-    monkeypatch.setattr(media, "BLOCK_ROWS", 2, raising=False)
-    assert links(rows) == votes
+def plain_links(pictures):
+    """Votes of every pair of pictures by plain loops over their descriptors."""
+    described, found = {k: media.describe(p.astype(np.float64)) for k, p in pictures.items()}, {}
+    for a, b in itertools.combinations(sorted(pictures), 2):
+        (pa_, wa), (pb, wb) = described[a], described[b]
+        pa_, pb = ([((k >> 36) & 0xFFFFF, (k >> 16) & 0xFFFFF, ((k >> 4) & 0xFFF) * 2 * np.pi / media.ANGLES, media.SCALE_CODES[k & 15]) for k in media.packed_points(x).tolist()] for x in (pa_, pb))
+        cells = {}
+        for (i, j) in {(i, j) for i in range(len(wa)) for j in range(len(wb)) if (wa[i] == wb[j]).any()}:
+            turn, ratio = (pb[j][2] - pa_[i][2]) % (2 * np.pi), pa_[i][3] / pb[j][3]
+            tx = pb[j][0] - ratio * (pa_[i][0] * np.cos(turn) - pa_[i][1] * np.sin(turn))
+            ty = pb[j][1] - ratio * (pa_[i][0] * np.sin(turn) + pa_[i][1] * np.cos(turn))
+            for grid in (0.0, 0.5):
+                cells.setdefault((int(np.floor(turn * 16 / (2 * np.pi) + 0.5)) % 16, round(4 * np.log2(ratio)), grid, np.floor(tx / 8 + grid), np.floor(ty / 8 + grid)), set()).add(i)
+        votes = max((len(v) for v in cells.values()), default=0)
+        if votes >= media.MIN_VOTES:
+            found[a, b] = votes
+    return found
+
+
+def test_copies_match_brute_force(spark, monkeypatch):
+    """Crops of three pictures, ids far apart: all links where nothing is crowded, the same components where every word is."""
+    rng, pictures = np.random.default_rng(11), {}
+    for k in range(3):
+        base = media.picture(rng.normal(size=64))
+        for i, (y, x) in enumerate(((0, 0), (4, 8), (8, 4), (12, 12), (16, 2))):
+            pictures[1_000 * (i + 1) + k] = np.ascontiguousarray(base[y : y + 80, x : x + 80])
+    rows = [(k, p.tobytes(), 80, 80) for k, p in pictures.items()]
+    docs = spark.createDataFrame(rows, "media_id long, image binary, width int, height int")
+    plain = plain_links(pictures)
+    assert {(r["a"], r["b"]): r["votes"] for r in media.copy_links(docs)[1].collect()} == plain
+    root = {k: k for k in pictures}
+    for _ in pictures:
+        for a, b in plain:
+            root[a] = root[b] = min(root[a], root[b])
+    for crowd, pivots, block in ((1, 1, 2), (3, 0, 2)):
+        for name, value in (("CROWD", crowd), ("PIVOTS", pivots), ("BLOCK_ROWS", block)):
+            monkeypatch.setattr(media, name, value)
+        assert {r["media_id"]: r["component_id"] for r in media.media_copies(docs).collect()} == root
 
 
 def test_corners_grow_with_area():

@@ -3,14 +3,16 @@
 Every source gets a target of words; each of its documents is wanted ``target / source size`` times, at most ``most`` times. The
 whole part is taken at once. The fractions are rounded in pairs: two open documents of a source exchange words, the one losing
 what the other gains, until one of them is taken or dropped. The exchange is a fair game, so each document keeps its expected
-number of copies, while the source's number of words never changes; only the very last open document of a source is rounded alone.
+number of copies, while the source's number of words never changes; only the very last open document of a source is rounded alone, to the nearer
+number, and keeps no exact chance. What that rounding of the larger documents lacks is first spread over the chances of the smaller ones, as far as these stay between 0 and 1.
 
 Open documents meet first inside salted buckets of a source, then the one left over by each bucket goes up a reduction tree, so
-no task sees more than a bucket, or FAN_IN residuals, however large the source. All draws come from hashes of document ids, so
+no task sees more than a bucket, or FAN_IN residuals, however large the source. All draws come from hashes of ids and texts, so
 reruns agree.
 
 Null sources form one source, ordered last. Null or empty texts have size 0; their copies are rounded alone as they hold no
-words. Documents that share an id are separate rows. An empty table gives an empty result. Only the named columns are read.
+words. A long text counts whole. Documents that share an id, or have none, are separate rows with draws of their own; repeated rows are told apart by a
+number. Sources of equal size over weight are ordered by name. An empty table gives an empty result. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ FAN_IN = 64
 BROADCAST_SOURCES = 50_000
 NULL_ID = -(1 << 63)  # stands for null ids while rows are rounded; rows that share it are told apart by their ordinal
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-STATE = "source_key string, bucket long, doc_id long, ordinal long, size long, p double, copies long, open boolean, missing double"
+STATE = "source_key string, bucket long, doc_id long, seed long, ordinal long, size long, p double, copies long, open boolean, missing double"
 
 
 def word_sizes(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", *more: str) -> DataFrame:
-    """doc_id, source, size and the columns named in more: one row per document, texts read once."""
+    """doc_id, source, size, seed (hash of id and text) and the columns named in more: one row per document, texts read once."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    return docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), *more)
+    return docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(key), F.col(text)).alias("seed"), *more)
 
 
 def targets(sizes: DataFrame, weight: Column, most: float = 3.0) -> DataFrame:
@@ -98,11 +100,12 @@ def pivot(ids: np.ndarray, sizes: np.ndarray, p: np.ndarray, salt: int) -> tuple
 
 def _round_group(level: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id", "ordinal"], kind="stable").reset_index(drop=True)
-        ids, sizes = rows["doc_id"].to_numpy(), rows["size"].to_numpy()
+        rows = rows.sort_values(["size", "doc_id", "seed", "ordinal"], kind="stable").reset_index(drop=True)
+        with np.errstate(over="ignore"):
+            ids, sizes = rows["seed"].to_numpy() + 31 * rows["ordinal"].to_numpy(), rows["size"].to_numpy()
         p, left = pivot(ids, sizes, rows["p"].to_numpy(), 1_000_003 * (level + 1))
         if last and left >= 0:
-            wanted, p[left] = p[left], float(_draws(ids[left : left + 1], 77)[0] < p[left])
+            wanted, p[left] = p[left], float(p[left] >= 0.5)
             rows.loc[left, "missing"] = (wanted - p[left]) * sizes[left]
             left = -1
         rows["open"] = np.arange(len(rows)) == left
@@ -132,13 +135,13 @@ def mix_sources(docs: DataFrame, weight: Column, most: float = 3.0, text: str =
 
     weight is a column over ``place``; see targets(). Shuffles carry ids and sizes, never texts.
     """
-    return _mixed(docs, weight, most, text, source, key).withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).drop("ordinal")
+    return _mixed(docs, weight, most, text, source, key).withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).drop("ordinal", "seed")
 
 
 def _numbered(sizes: DataFrame) -> DataFrame:
-    """Rows with the same id, source and size told apart by their number among equals, whichever comes first."""
+    """Rows with the same id, source, size and text told apart by their number among equals, whichever comes first."""
     known = sizes.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return known.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(1))).cast("long"))
+    return known.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id", "source", "size", "seed").orderBy(F.lit(1))).cast("long"))
 
 
 def _mixed(docs: DataFrame, weight: Column, most: float, text: str, source: str, key: str) -> DataFrame:
@@ -156,9 +159,9 @@ def _mixed(docs: DataFrame, weight: Column, most: float, text: str, source: str,
     whole = F.floor("wanted")
     fraction = F.col("wanted") - whole
     alone = F.col("size") == 0
-    draw = F.pmod(F.xxhash64("doc_id", "ordinal"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("doc_id", "seed", "ordinal"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     state = joined.select(
-        _source_key(), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), F.col("doc_id").cast("long"), "ordinal", "size",
+        _source_key(), F.pmod(F.xxhash64("doc_id", "seed", "ordinal"), F.lit(buckets)).alias("bucket"), F.col("doc_id").cast("long"), "seed", "ordinal", "size",
         F.when(alone, F.lit(0.0)).otherwise(fraction).alias("p"),
         (whole + F.when(alone & (draw < fraction), 1).otherwise(0)).cast("long").alias("copies"),
         F.lit(True).alias("open"), F.lit(0.0).alias("missing"), (F.col("size") <= F.col("mean_size")).alias("late"),
@@ -173,9 +176,9 @@ def _mixed(docs: DataFrame, weight: Column, most: float, text: str, source: str,
         "p", F.when((F.col("p") > 0) & (F.col("p") < 1), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") + F.coalesce("shift", F.lit(0.0))))).otherwise(F.col("p"))
     )
     late = _reduced(shifted.select(*[f.split()[0] for f in STATE.split(", ")]), buckets)
-    settled = early.unionByName(late).select("source_key", "doc_id", "ordinal", "size", "copies")
+    settled = early.unionByName(late).select("source_key", "doc_id", "seed", "ordinal", "size", "copies")
     back = plan.select(_source_key(), "source", "source_size", "target")
-    return settled.join(F.broadcast(back) if few else back, "source_key").select("doc_id", "source", "size", "source_size", "target", "copies", "ordinal")
+    return settled.join(F.broadcast(back) if few else back, "source_key").select("doc_id", "source", "size", "source_size", "target", "copies", "seed", "ordinal")
 
 
 def _source_key() -> Column:
@@ -183,13 +186,12 @@ def _source_key() -> Column:
 
 
 def mixed_documents(docs: DataFrame, weight: Column, most: float = 3.0, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; ids may be null or shared, as rows of one id, source and size are numbered."""
-    names = docs.columns
+    """The rows of docs, each as often as the mix takes it; ids may be null or shared, as rows of one id, source and text are numbered."""
     copies = _mixed(docs, weight, most, text, source, key).where("copies > 0").select(
-        F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), F.col("ordinal").alias("mix_ordinal"), F.sequence(F.lit(1), F.col("copies")).alias("mix_copies")
+        F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), F.col("seed").alias("mix_seed"), F.col("ordinal").alias("mix_ordinal"), F.sequence(F.lit(1), F.col("copies")).alias("mix_copies")
     )
-    rows = _numbered(word_sizes(docs.withColumn("mix_row", F.struct(*names)), text, source, key, "mix_row"))
-    same = (rows["doc_id"] == copies["mix_id"]) & rows["source"].eqNullSafe(copies["mix_source"]) & (rows["size"] == copies["mix_size"]) & (rows["ordinal"] == copies["mix_ordinal"])
+    rows = _numbered(word_sizes(docs.select(F.struct("*").alias("mix_row"), *[F.col(f"`{c}`") for c in dict.fromkeys((text, source, key))]), text, source, key, "mix_row"))
+    same = (rows["doc_id"] == copies["mix_id"]) & rows["source"].eqNullSafe(copies["mix_source"]) & (rows["size"] == copies["mix_size"]) & (rows["seed"] == copies["mix_seed"]) & (rows["ordinal"] == copies["mix_ordinal"])
     return rows.join(copies, same).withColumn("mix_copy", F.explode("mix_copies")).select("mix_row.*")
 
 

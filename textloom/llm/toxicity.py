@@ -8,8 +8,9 @@
    sample, is the score; tokens with a marginal of MARK or more are the offending spans.
 
 Only words decide: labels, language, source and id are no inputs of a score. Null and empty texts have no tokens and get the score of
-a text without toxic tokens. Repeated rows are scored one by one; an empty table gives an empty result. Without labels of both classes,
-the score is the base rate. Only the named columns are read.
+a text without toxic tokens. Long texts are scored whole, and equal texts score alike. Rows with equal or null ids and repeated rows are scored one by one;
+of labels that share an id one is used. An empty table gives an empty result. Without labels of both classes, the score is the base rate. Spans are
+places of the text as given. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -136,7 +137,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, key: str, lab
     known = labels.where(keep).where(F.col(label).isin(0, 1)).select(F.col(key).alias("sample_id"), F.col(label).cast("int").alias("label")).dropDuplicates(["sample_id"])
     parts = [hash_sample(known.where(F.col("label") == c), "sample_id", n) for c, n in SAMPLE.items()]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # sum(SAMPLE.values()) rows at most
-    return docs.join(chosen, docs[key] == chosen["sample_id"]).select(F.col(text).cast("string").alias("text"), "label", "sample_id").where("text IS NOT NULL").dropDuplicates(["text", "label"])
+    texts = docs.select(F.col(key).alias("text_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    return texts.join(chosen, F.col("text_id") == F.col("sample_id")).select("text", "label", "sample_id").dropDuplicates(["text", "label"])
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +266,9 @@ class Scanner:
             if gain is not None:
                 marked.append((i, gain))
                 places.append(m.span())
+        if not same:
+            ends = np.cumsum([len(c.lower()) for c in text])  # where each character of the text ends in its lower-cased form
+            places = [(int(np.searchsorted(ends, s, "right")), int(np.searchsorted(ends, e - 1, "right")) + 1) for s, e in places]
         score, marginals = self.model.document(len(words), marked)
         return score, [s for s, p in zip(places, marginals) if p >= MARK], len(words)
 
