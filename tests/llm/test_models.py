@@ -201,6 +201,62 @@ def test_main_text_in_other_templates(spark):
     assert [r["text"] for r in html_crf.extract_main_text(odd, model).collect()] == [""] * 4
 
 
+def test_deep_pages_take_linear_time():
+    import time
+
+    def seconds(depth, unit="<div>a"):
+        began = time.process_time()
+        blocks = html_crf.leaf_blocks(unit * depth)
+        html_crf.block_features(blocks)
+        assert len(blocks) == depth
+        return time.process_time() - began
+
+    seconds(1_000)
+    assert seconds(40_000) <= 12 * seconds(5_000) + 0.5
+    assert seconds(20_000, "<section class=menu><blockquote></x>b") < 10
+
+
+def test_all_ancestors_are_features():
+    outer = "".join(f"<{t}>" for t in ("article", "blockquote", "dl", "dd", "figure", "footer", "main", "nav", "section", "ul", "li"))
+    names = html_crf.block_features(html_crf.leaf_blocks(outer + "text"))[0]
+    assert {"in=article", "in=footer", "in=main", "in=nav", "in=section", "in=li"} <= set(names)
+
+
+def test_main_text_without_known_words(spark):
+    """Templates with class words that the model has never seen, and neither article nor main."""
+    pages = [r["html"] for r in spark.read.parquet(f"{LARGER}/pages.parquet").collect()]
+    model = html_crf.fit_pages(pages[:100])
+    lost = kept = boiler = wrong = 0
+    for p in pages[100:160]:
+        blocks = html_crf.leaf_blocks(p)
+        y = html_crf.structural_labels(blocks)
+        content = [b for b, k in zip(blocks, y) if k]
+        menu = "".join(f'<li><a href="/q">{w}</a></li>' for w in ("Home", "World", "Sport", "Contact"))
+        inner = "".join(f"<{b.tag if b.tag in html_crf.HEADINGS else 'p'} {html_crf.MARK}>{b.text.replace('<', '&lt;')}</p>" for b in content)
+        page = f'<body><div class="zq1"><ul class="zq2">{menu}</ul></div><div class="zq3">{inner}</div><div class="zq4"><p>© 2020 Acme</p></div></body>'
+        made = html_crf.leaf_blocks(page)
+        for b, k in zip(made, model.labels(made)):
+            kept, lost, boiler, wrong = kept + b.marked, lost + (b.marked and not k), boiler + (not b.marked), wrong + (not b.marked and k)
+    assert lost <= 0.05 * kept and wrong <= 0.3 * boiler
+
+
+def test_clashing_columns(spark):
+    """Extra columns named like the operators' own."""
+    pages = spark.createDataFrame([(1, "u", "<article><p>Some text here.</p></article>", 3)], "page_id long, url string, html string, sample_id int")
+    assert html_crf.extract_main_text(pages, html_crf.fit(pages)).first()["text"] == "Some text here."
+    docs = spark.createDataFrame([(i, f"plain {i} {'idiot' if i % 2 else 'kind'} words", "en", 1, 2, 3, 4) for i in range(40)] + [(None, None, None, None, None, None, None)], "doc_id long, text string, lang string, label int, sample_id int, trusted_id int, `a.b` int")
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(40)], "doc_id long, toxic int, quality int")
+    assert toxicity.toxicity_scores(docs, toxicity.fit(docs, labels)).count() == 41
+    assert kneser_ney.perplexity_quality(docs, labels).count() == 41
+
+
+def test_spans_are_places_of_the_text_as_given():
+    model = toxicity.Model({"=bad": 1}, crf.Chain(np.array([[0.0, -6.0], [0.0, 12.0]]), np.zeros((2, 2)), np.zeros(2)), 1.0, 0.0)
+    scan = toxicity.Scanner(model)
+    for text, span in (("İ bad", (2, 5)), ("bad", (0, 3)), ("İİ x BAD İ", (5, 8))):
+        assert scan(text)[1] == [span]
+
+
 def test_copies_of_pictures(spark):
     rows = QUERIES["op6_media"](spark, DATA).collect()
     root = {r["media_id"]: r["component_id"] for r in rows}

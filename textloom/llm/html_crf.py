@@ -8,8 +8,12 @@ Training takes a bounded sample of pages and labels blocks by page structure: te
 forms, comments and the like, is article. Each sampled page is also set in other templates, with plain divisions, other class words,
 notices, sidebars, forms and comments whose texts come from sampled pages, so that no single template or element decides.
 
-Null and empty pages give an empty text. Cut-off pages and tags, missing end tags and unknown elements are accepted. Repeated rows are
-extracted one by one; an empty table gives an empty result. Only the named columns are read.
+Pages of more than SAMPLE_LENGTH characters are extracted like all others, but not trained on. Where no sampled page has a structure to learn from,
+every block counts as article.
+
+Null and empty pages give an empty text. Cut-off pages and tags, missing end tags and unknown elements are accepted. Long and deeply nested pages
+take time in proportion to their length, as the ancestors of a place are held as counts. Equal pages give equal texts; rows with equal or null ids
+and repeated rows are extracted one by one. An empty table gives an empty result. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from textloom.llm.shared import hash_sample
 SAMPLE_PAGES = 400
 VARIANTS = 3
 SAMPLE_BLOCKS = 80  # blocks of a training sequence; longer pages give the blocks around their label changes
-K = 20
+SAMPLE_LENGTH = 1_000_000
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +45,7 @@ BLOCKS = frozenset(
 )
 IMPLIED_END = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dd": frozenset({"dd", "dt"}), "dt": frozenset({"dd", "dt"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 CLOSES_P = BLOCKS - {"button", "label", "legend", "option", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
+TELLING = BLOCKS - {"html", "body", "div", "p"}  # ancestors that are features
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Words in class, id and role values, and the kind of region that they speak for.
@@ -68,7 +73,7 @@ MARK = "data-article"
 class Block:
     text: str
     tag: str
-    path: tuple[str, ...]
+    path: frozenset[str]  # tags of its ancestors
     regions: frozenset[str]
     linked: int
     marked: bool
@@ -81,6 +86,29 @@ class _Open:
     marked: bool = False
 
 
+class _Names:
+    """How often each name is open, and the set of open names, made anew only when it changes."""
+
+    def __init__(self):
+        self.counts: dict[str, int] = {}
+        self._open: frozenset[str] | None = frozenset()
+
+    def add(self, name: str, by: int) -> None:
+        before = self.counts.get(name, 0)
+        self.counts[name] = before + by
+        if not before or not before + by:
+            self._open = None
+
+    def open(self) -> frozenset[str]:
+        if self._open is None:
+            self._open = frozenset(n for n, c in self.counts.items() if c)
+            self.counts = {n: self.counts[n] for n in self._open}
+        return self._open
+
+    def __contains__(self, name: str) -> bool:
+        return self.counts.get(name, 0) > 0
+
+
 def regions_of(attributes: str) -> frozenset[str]:
     if "=" not in attributes:
         return frozenset()
@@ -96,6 +124,10 @@ def regions_of(attributes: str) -> frozenset[str]:
 class _Parser:
     blocks: list[Block] = field(default_factory=list)
     stack: list[_Open] = field(default_factory=list)
+    holders: list[str] = field(default_factory=list)  # the open block elements
+    tags: _Names = field(default_factory=_Names)
+    regions: _Names = field(default_factory=_Names)
+    marks: int = 0
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -107,28 +139,40 @@ class _Parser:
         self.parts.clear()
         linked, self.linked = self.linked, 0
         if text:
-            path = tuple(o.tag for o in self.stack)
-            own = next((t for t in reversed(path) if t in BLOCKS), "body")
-            regions = frozenset().union(*(o.regions for o in self.stack)) if self.stack else frozenset()
-            self.blocks.append(Block(text, own, path, regions, linked, any(o.marked for o in self.stack)))
+            self.blocks.append(Block(text, self.holders[-1] if self.holders else "body", self.tags.open(), self.regions.open(), linked, self.marks > 0))
 
     def text(self, value: str) -> None:
         if value:
             self.parts.append(value)
-            if any(o.tag == "a" for o in self.stack):
+            if "a" in self.tags:
                 self.linked += len(value)
 
     def close(self, tags: frozenset[str], stop: frozenset[str] = frozenset()) -> None:
         """Close the innermost of these elements and all inside it, unless stop comes first."""
+        if not any(t in self.tags for t in tags):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i].tag in tags:
                 if any(o.tag in BLOCKS for o in self.stack[i:]):
                     self.flush()
+                for gone in self.stack[i:]:
+                    self._count(gone, -1)
                 del self.stack[i:]
                 return
             if self.stack[i].tag in stop:
                 return
 
+    def _count(self, element: _Open, by: int) -> None:
+        self.tags.add(element.tag, by)
+        for r in element.regions:
+            self.regions.add(r, by)
+        self.marks += by * element.marked
+        if element.tag in BLOCKS:
+            if by > 0:
+                self.holders.append(element.tag)
+            else:
+                self.holders.pop()
+
     def open(self, tag: str, attributes: str) -> None:
         if tag == "br":
             self.parts.append(" ")
@@ -141,6 +185,7 @@ class _Parser:
                 self.close(IMPLIED_END[tag], frozenset({"ul", "ol", "dl", "table", "select", "div", "section", "article"}))
         if tag not in VOID:
             self.stack.append(_Open(tag, regions_of(attributes), MARK in attributes))
+            self._count(self.stack[-1], 1)
 
 
 def leaf_blocks(page: str) -> list[Block]:
@@ -176,11 +221,11 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
         names = [f"own={b.tag}", f"words={_bucket(words)}", f"links={4 * b.linked // max(len(b.text), 1)}", f"end={b.text[-1] if b.text[-1] in '.!?:;,' else '-'}", f"third={3 * i // total}"]
-        names += [f"in={t}" for t in sorted({t for t in b.path if t in BLOCKS and t not in ("html", "body", "div", "p")})[:7]]
+        names += [f"in={t}" for t in sorted(b.path & TELLING)]
         names += [f"region={r}" for r in sorted(b.regions)]
         if b.text[0] in "©":
             names.append("copyright")
-        out.append(names[:K])
+        out.append(names)
     return out
 
 
@@ -284,7 +329,7 @@ def fit_pages(pages: list[str], variants: int = VARIANTS, seed: int = 11) -> Mod
     index = {f: i + 1 for i, f in enumerate(sorted({f for s in names for t in s for f in t}))}
     if not names:
         return Model({}, crf.Chain(np.array([[0.0, 1.0]]), np.zeros((2, 2)), np.zeros(2)))
-    features, lengths = crf.padded([[[index[f] for f in t] for t in s] for s in names], K)
+    features, lengths = crf.padded([[[index[f] for f in t] for t in s] for s in names], max(len(t) for s in names for t in s))
     y = np.zeros(features.shape[:2], dtype=np.int64)
     for i, g in enumerate(gold):
         y[i, : len(g)] = g
@@ -292,10 +337,11 @@ def fit_pages(pages: list[str], variants: int = VARIANTS, seed: int = 11) -> Mod
 
 
 def fit(pages: DataFrame, page: str = "html", key: str = "page_id") -> Model:
-    """A model from SAMPLE_PAGES pages at most, chosen by hash of their id."""
-    ids = hash_sample(pages.where(F.col(page).isNotNull()).select(F.col(key).alias("sample_id")).distinct(), "sample_id", SAMPLE_PAGES)
-    chosen = pages.join(F.broadcast(ids), pages[key] == ids["sample_id"]).select(F.col(page).cast("string").alias("html"), "sample_id")
-    rows = chosen.dropDuplicates(["sample_id"]).orderBy("sample_id").collect()  # SAMPLE_PAGES rows at most
+    """A model from SAMPLE_PAGES pages at most, of SAMPLE_LENGTH characters at most, chosen by hash of their id."""
+    known = pages.select(F.col(key).alias("sample_id"), F.col(page).cast("string").alias("html")).where(F.length("html") <= SAMPLE_LENGTH)
+    ids = hash_sample(known.select("sample_id").distinct(), "sample_id", SAMPLE_PAGES)
+    chosen = known.join(F.broadcast(ids), "sample_id").select("html", "sample_id")
+    rows = chosen.dropDuplicates(["sample_id"]).orderBy("sample_id").collect()  # SAMPLE_PAGES rows of SAMPLE_LENGTH characters at most
     return fit_pages([r["html"] for r in rows])
 
 
