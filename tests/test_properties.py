@@ -74,7 +74,7 @@ def test_parameters_are_checked(edges, size, overlap):
 
 def test_recovery_kinds(spark):
     good = '{"cleaned_chunk": "a\\"b", "title": "T", "keywords": ["k"], "questions": []}'
-    cases = [("o", good, "ok"), ("o", f"```JSON\n{good}\n```", "ok"), ("o", good[:-30], "partial"), ("o", good + ' {"x', "repaired"), ("o", "no", "error"), ("o", None, "error"), ("o", "[1]", "error"), ("o", "", "error")]
+    cases = [("o", good, "ok"), ("o", f"```JSON\n{good}\n```", "ok"), ("o", good[:-30], "partial"), ("o", good + ' {"x', "repaired"), ("o", "no", "error"), ("o", None, "error"), ("o", "[1]", "error"), ("o", "", "error"), ("o", "{'title': 'T'}", "error")]
     rows = A.recovered(spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i int, original string, raw_response string")).orderBy("i").collect()
     assert [r["status"] for r in rows] == [c[2] for c in cases]
     assert rows[0]["cleaned_chunk"] == 'a"b' and rows[0]["keywords"] == ["k"] and rows[4]["cleaned_chunk"] == "o"

@@ -15,6 +15,7 @@ LISTS = ("keywords", "questions")
 #: Lists are read as text first, because a field that is no list counts as an empty one.
 _SCHEMA = "struct<" + ",".join(f"{f}:string" for f in (*STRINGS, *LISTS)) + ">"
 _LIST = "array<string>"
+STRICT = {"allowSingleQuotes": "false"}  # only double quotes make a JSON string
 
 
 def last_close(c: Column) -> Column:
@@ -43,7 +44,7 @@ def _fields(parsed: Column) -> Column:
 
 def parse_fields(c: Column) -> Column:
     """The six fields of a JSON object: missing strings are '', lists that are no lists are empty."""
-    return _fields(F.from_json(c, _SCHEMA))
+    return _fields(F.from_json(c, _SCHEMA, STRICT))
 
 
 def is_object(c: Column) -> Column:
@@ -77,7 +78,7 @@ def recovered(answers: DataFrame, raw: str = "raw_response", original: str = "or
     rows = answers.withColumn("_raw", T.strip_fence(F.coalesce(raw, F.lit("")), "json"))
     rows = rows.withColumn("_last", last_close(F.col("_raw")))
     rows = rows.withColumn("_json", F.when((F.col("_last") > 0) & is_object(F.col("_raw")), F.left("_raw", F.col("_last"))))
-    rows = rows.withColumn("_valid", F.col("_json").isNotNull() & F.from_json("_json", "map<string,string>").isNotNull())
+    rows = rows.withColumn("_valid", F.col("_json").isNotNull() & F.from_json("_json", "map<string,string>", STRICT).isNotNull())
     fields, found = fields_by_pattern(F.col("_raw"), F.col(original))
     rows = rows.withColumn("_found", found).withColumn("_by_pattern", fields).withColumn("_parsed", parse_fields(F.col("_json")))
     status = F.when(F.col("_valid") & (F.col("_last") == F.length("_raw")), "ok").when(F.col("_valid"), "repaired").when(F.col("_found"), "partial").otherwise("error")

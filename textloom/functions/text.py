@@ -84,5 +84,3 @@ def contextualized(headings: Column, text: Column) -> Column:
     return F.concat_ws("\n", F.filter(headings, lambda h: h.isNotNull()), text)
 
 
-def sha(c: Column) -> Column:
-    return F.md5(c.cast("binary"))

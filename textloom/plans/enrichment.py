@@ -47,7 +47,7 @@ def f5_repair_truncated_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.raw_llm(spark, sf_dir).select("doc_id", T.strip_fence(F.col("raw_response"), "json").alias("r"))
     closed = rows.select("doc_id", "r", A.last_close(F.col("r")).alias("last_close"))
     prefix = F.when(F.col("last_close") > 0, F.left("r", F.col("last_close")))
-    return closed.select("doc_id", "last_close", F.when(F.from_json(prefix, "map<string,string>").isNotNull(), prefix).alias("repaired"))
+    return closed.select("doc_id", "last_close", F.when(F.from_json(prefix, "map<string,string>", {"allowSingleQuotes": "false"}).isNotNull(), prefix).alias("repaired"))
 
 
 def _pattern_sql(field: str) -> str:

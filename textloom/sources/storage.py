@@ -61,7 +61,7 @@ def split_corrupt(rows: DataFrame, json: str, required: tuple[str, ...]) -> Data
     """rows with ``error``: null for a JSON object that has the required fields, else why it isn't loaded."""
     c = F.trim(json)
     whole = A.is_object(c) & (A.last_close(c) == F.length(c))
-    parsed = F.from_json(F.when(whole, c), "map<string,string>")
+    parsed = F.from_json(F.when(whole, c), "map<string,string>", {"allowSingleQuotes": "false"})
     missing = F.lit(False)
     for f in required:
         missing = missing | F.get_json_object(c, f"$.{f}").isNull()
