@@ -66,10 +66,10 @@ def p2_safe_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.safe_stem(F.col("url")).alias("stem"))
 
 
-@query("""select 'd' || doc_id as id, coalesce(nullif(trim(regexp_replace(substr(text, 1, 200), '[^a-zA-Z0-9]+', '-', 'g'), '-'), ''), 'doc') as name from documents
+@query("""select 'd' || doc_id as id, coalesce(nullif(trim(regexp_replace(text, '[^a-zA-Z0-9]+', '-', 'g'), '-'), ''), 'doc') as name from documents
 union all select 'p' || page_id, coalesce(nullif(trim(regexp_replace(url, '[^a-zA-Z0-9]+', '-', 'g'), '-'), ''), 'doc') from pages""")
 def p3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), T.sanitise(F.substring("text", 1, 200)).alias("name"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), T.sanitise(F.col("text")).alias("name"))
     return docs.unionByName(table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), T.sanitise(F.col("url")).alias("name")))
 
 

@@ -222,13 +222,13 @@ def v6_enrich_extractive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("keywords", F.array_join("keywords", "|")).withColumn("questions", F.array_join("questions", "|"))
 
 
-_RECORDS_SQL = """select doc_id, case when doc_id % 2 = 0 then json_object('index', doc_id, 'Chunk', left(text, 40), 'Title', lang, 'Keywords', [source]) else json_object('index', doc_id, 'content', left(text, 40), 'title', source, 'start', 3) end as j from documents"""
+_RECORDS_SQL = """select doc_id, case when doc_id % 2 = 0 then json_object('index', doc_id, 'Chunk', text, 'Title', lang, 'Keywords', [source]) else json_object('index', doc_id, 'content', text, 'title', source, 'start', 3) end as j from documents"""
 
 
 @query(f"""select doc_id, cast(json_extract_string(j, '$.index') as int) as index, coalesce(json_extract_string(j, '$.content'), json_extract_string(j, '$.Chunk'), '') as content,
   coalesce(json_extract_string(j, '$.title'), json_extract_string(j, '$.Title'), '') as title, coalesce(array_to_string(json_extract_string(j, '$.Keywords[*]'), '|'), '') as keywords, coalesce(cast(json_extract_string(j, '$.start') as int), 0) as start from ({_RECORDS_SQL})""")
 def s8_normalise_chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.left("text", F.lit(40))
+    text = F.col("text")
     old = F.to_json(F.struct(F.col("doc_id").alias("index"), text.alias("Chunk"), F.col("lang").alias("Title"), F.array("source").alias("Keywords")))
     new = F.to_json(F.struct(F.col("doc_id").alias("index"), text.alias("content"), F.col("source").alias("title"), F.lit(3).alias("start")))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, old).otherwise(new).alias("json"))
