@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from textloom.llm.shared import saved
 
+#: A step of a round runs in as many tasks as give each about this many links: small tables aren't dealt out in tiny files.
+TASK_LINKS = 1 << 15
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of links(a, b).
@@ -16,13 +19,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     edges = saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = _mark(edges)
+    tasks = max(1, -(-mark[0] // TASK_LINKS))
+    edges = edges.coalesce(tasks)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(lower.select("a", F.col("m").alias("b"))).distinct()
-        edges = saved(small)
+        small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(lower.select("a", F.col("m").alias("b")))
+        edges = saved(small.coalesce(tasks).distinct().coalesce(tasks))
         before, mark = mark, _mark(edges)
         if before == mark:
             break
