@@ -1,5 +1,7 @@
 """Properties of chunkers and editors on edge texts."""
 
+import time
+
 import pytest
 
 from textloom import plugins
@@ -132,3 +134,19 @@ def test_registry(spark):
     assert {r["doc_id"]: r["success"] for r in outcomes.collect()} == {1: True, 2: False, 3: False}
     with pytest.raises(ValueError):
         plugins.chunk_corpus(chunks, "none")
+
+
+def test_long_documents_take_linear_time(spark):
+    def seconds(run, n):
+        text = " ".join(f"w{i}" + "\n" * (i % 12 == 11) for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, content string")
+        began = time.monotonic()
+        rows = run(df).select("content", "start", "end").collect()
+        spent = time.monotonic() - began
+        assert all(text[r["start"] : r["end"]] == r["content"] for r in rows)
+        return spent
+
+    for run in (K.chunk_token, K.chunk_lines, K.chunk_fast):
+        seconds(run, 1_000)
+        once = max(1.0, seconds(run, 100_000))
+        assert seconds(run, 200_000) < 2.5 * once

@@ -15,6 +15,8 @@ from textloom.functions import text as T
 
 CHUNK = "array<struct<content:string,start:int>>"
 MARKER = "\u0001"
+#: Atoms of one step of packing; a step's state is copied for each of its atoms.
+STEP_ATOMS = 512
 
 
 def _check(size: int, overlap: int = 0) -> None:
@@ -26,6 +28,27 @@ def _total(lengths: Column) -> Column:
     return F.aggregate(lengths, F.lit(0), lambda acc, x: acc + x)
 
 
+def _part(values: Column | str, first: Column, last: Column) -> Column:
+    """The values at places first to last (from 0), in falling order if last is lower; slice would copy the whole array each time."""
+    return F.transform(F.sequence(first, last), lambda k: F.get(values, k))
+
+
+def _before(lengths: Column) -> Column:
+    """For each length the sum of those before it, in one pass."""
+    state = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at"))
+    step = lambda acc, x: F.struct(F.array_append(acc["out"], acc["at"]).alias("out"), (acc["at"] + x).alias("at"))
+    return F.aggregate(lengths, state, step, lambda acc: acc["out"])
+
+
+def _runs(value: Column, width: int) -> Column:
+    """The value cut into runs of width characters; the last may be shorter."""
+    return F.regexp_extract_all(value, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+
+
+def _chunks_at(contents: Column, starts: Column) -> Column:
+    return F.zip_with(contents, starts, lambda c, s: F.struct(c.alias("content"), s.alias("start")))
+
+
 def _exploded(df: DataFrame, chunks: str = "_chunks") -> DataFrame:
     rows = df.select("doc_id", *[c for c in df.columns if c.startswith("_keep_")], F.posexplode_outer(chunks).alias("chunk_index", "_c"))
     # The outer form, as the inner one makes the optimizer repeat the whole expression in a filter below.
@@ -43,11 +66,9 @@ def chunk_token(df: DataFrame, size: int = 512, overlap: int = 51) -> DataFrame:
     n = F.size("_tokens")
     starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(step)))
     placed = base.withColumn("_starts", starts).withColumn("_lengths", F.transform("_tokens", F.length))
-    window = lambda s: F.struct(
-        F.when(n == 0, F.col("content")).otherwise(F.array_join(F.slice("_tokens", s + 1, F.lit(size)), "")).alias("content"),
-        _total(F.slice("_lengths", F.lit(1), s)).alias("start"),
-    )
-    return _exploded(placed.withColumn("_chunks", F.transform("_starts", window)))
+    content = lambda s: F.when(n == 0, F.col("content")).otherwise(F.array_join(_part("_tokens", s, F.least(s + size, n) - 1), ""))
+    placed = placed.withColumn("_steps", _before(F.transform("_starts", lambda s: _total(_part("_lengths", s, F.greatest(s, F.least(s + step, n) - 1))))))
+    return _exploded(placed.withColumn("_chunks", _chunks_at(F.transform("_starts", content), F.col("_steps"))))
 
 
 def greedy_spans(weights: Column, limit: int, separator: int = 0, overlap: int = 0) -> Column:
@@ -57,7 +78,7 @@ def greedy_spans(weights: Column, limit: int, separator: int = 0, overlap: int =
     of atoms at the end of the one before that weighs at most overlap and leaves room for the next atom.
     """
     state = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("done"), F.lit(0).alias("s"), F.lit(0).alias("w"))
-    atoms = F.transform(weights, lambda w, i: F.struct(w.cast("int").alias("w"), (i + 1).alias("i")))
+    count = F.size(weights)
 
     def step(acc: Column, x: Column) -> Column:
         fits = (acc["s"] > 0) & (acc["w"] + separator + x["w"] <= limit)
@@ -65,9 +86,9 @@ def greedy_spans(weights: Column, limit: int, separator: int = 0, overlap: int =
         if not overlap:
             fresh = F.struct(closed.alias("done"), x["i"].alias("s"), x["w"].alias("w"))
         else:
-            tail = F.reverse(F.slice(weights, acc["s"] + 1, F.greatest(x["i"] - 1 - acc["s"], F.lit(0))))
+            tail = _part(weights, x["i"] - 2, acc["s"])
             run = F.aggregate(
-                F.when(acc["s"] > 0, tail).otherwise(F.array().cast("array<int>")),
+                F.when((acc["s"] > 0) & (acc["s"] < x["i"] - 1), tail).otherwise(F.array().cast("array<int>")),
                 F.struct(F.lit(0).alias("k"), F.lit(0).alias("t"), F.lit(False).alias("over")),
                 lambda a, w: F.when(
                     ~a["over"] & (a["t"] + F.when(a["k"] > 0, separator).otherwise(0) + w <= overlap) & (a["t"] + F.when(a["k"] > 0, separator).otherwise(0) + w + separator + x["w"] <= limit),
@@ -78,9 +99,15 @@ def greedy_spans(weights: Column, limit: int, separator: int = 0, overlap: int =
             fresh = F.get(F.transform(one, lambda o: F.struct(closed.alias("done"), o["s"].alias("s"), o["w"].alias("w"))), F.lit(0))
         return F.when(fits, F.struct(acc["done"].alias("done"), acc["s"].alias("s"), (acc["w"] + separator + x["w"]).alias("w"))).otherwise(fresh)
 
-    last = F.struct(F.lit(0).alias("s"), F.size(weights).alias("e"))
+    def leap(acc: Column, first: Column) -> Column:
+        atoms = F.transform(F.sequence(first, F.least(first + STEP_ATOMS, count) - 1), lambda k: F.struct(F.get(weights, k).cast("int").alias("w"), (k + 1).alias("i")))
+        packed_on = F.aggregate(atoms, F.struct(state["done"].alias("done"), acc["s"].alias("s"), acc["w"].alias("w")), step)
+        return F.get(F.transform(F.array(packed_on), lambda r: F.struct(F.concat(acc["done"], r["done"]).alias("done"), r["s"].alias("s"), r["w"].alias("w"))), F.lit(0))
+
+    last = F.struct(F.lit(0).alias("s"), count.alias("e"))
     finish = lambda acc: F.when(acc["s"] > 0, F.array_append(acc["done"], F.struct(acc["s"].alias("s"), last["e"].alias("e")))).otherwise(acc["done"])
-    return F.aggregate(atoms, state, step, finish)
+    firsts = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)), F.lit(STEP_ATOMS))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(firsts, state, leap, finish)
 
 
 def _hard_cut(chunks: Column, weight: Callable[[Column], Column], limit: int, unit: str) -> Column:
@@ -88,12 +115,13 @@ def _hard_cut(chunks: Column, weight: Callable[[Column], Column], limit: int, un
 
     def pieces(c: Column) -> Column:
         if unit == "token":
-            tokens = T.tokens(c["content"])
-            starts = F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(limit))
-            return F.transform(starts, lambda s: F.struct(F.array_join(F.slice(tokens, s + 1, F.lit(limit)), "").alias("content"), (c["start"] + _total(F.transform(F.slice(tokens, F.lit(1), s), F.length))).alias("start")))
+            starts = lambda t: F.sequence(F.lit(0), F.size(t) - 1, F.lit(limit))
+            cut_up = lambda t: F.transform(starts(t), lambda s: F.array_join(_part(t, s, F.least(s + limit, F.size(t)) - 1), ""))
+            # An array of one value binds what would else be computed again for each piece.
+            cuts = F.get(F.transform(F.array(T.tokens(c["content"])), cut_up), F.lit(0))
+            return _chunks_at(cuts, F.transform(_before(F.transform(cuts, F.length)), lambda k: c["start"] + k))
         width = limit if unit == "char" else max(1, limit // 4)
-        starts = F.sequence(F.lit(0), F.length(c["content"]) - 1, F.lit(width))
-        return F.transform(starts, lambda s: F.struct(F.substring(c["content"], s + 1, F.lit(width)).alias("content"), (c["start"] + s).alias("start")))
+        return F.transform(_runs(c["content"], width), lambda x, i: F.struct(x.alias("content"), (c["start"] + i * width).alias("start")))
 
     return F.flatten(F.transform(chunks, lambda c: F.when(weight(c["content"]) > limit, pieces(c)).otherwise(F.array(c))))
 
@@ -104,10 +132,12 @@ def packed(df: DataFrame, atoms: Column, weight: Callable[[Column], Column], lim
     weighed = base.withColumn("_weights", F.transform("_atoms", lambda a: weight(a).cast("int"))).withColumn("_lengths", F.transform("_atoms", F.length))
     spans = weighed.withColumn("_spans", greedy_spans(F.col("_weights"), limit, separator_weight, overlap))
     gap = len(separator)
-    before = lambda k: _total(F.slice("_lengths", F.lit(1), k - 1)) + (k - 1) * gap
-    size = lambda x: _total(F.slice("_lengths", x["s"], x["e"] - x["s"] + 1)) + (x["e"] - x["s"]) * gap
-    placed = spans.withColumn("_bounds", F.transform("_spans", lambda x: F.struct(before(x["s"]).alias("start"), size(x).alias("n"))))
-    made = placed.withColumn("_chunks", F.transform("_bounds", lambda x: F.struct(F.substring(F.col("content"), x["start"] + 1, x["n"]).alias("content"), x["start"].alias("start"))))
+    # A span begins as far behind the start of the one before as the atoms between them are long, so all sums together pass the atoms once.
+    reach = lambda x, i: F.get("_spans", i + 1)["s"] - x["s"]
+    moved = lambda x, i: F.coalesce(_total(_part("_lengths", x["s"] - 1, x["s"] + reach(x, i) - 2)) + reach(x, i) * gap, F.lit(0))
+    placed = spans.withColumn("_begins", _before(F.transform("_spans", moved)))
+    contents = F.transform("_spans", lambda x: F.array_join(_part("_atoms", x["s"] - 1, x["e"] - 1), separator))
+    made = placed.withColumn("_chunks", _chunks_at(contents, F.col("_begins")))
     if cut:
         made = made.withColumn("_chunks", _hard_cut(F.col("_chunks"), weight, limit, cut))
     return _exploded(made)
@@ -170,7 +200,7 @@ def _leveled(df: DataFrame, weight: Callable[[Column], Column], size: int, split
 def chunk_recursive_md(df: DataFrame, size: int = 512, overlap: int = 51) -> DataFrame:
     """Cut at headings, fences, rules, blank lines, lines, spaces, characters in turn as far as needed, then pack by characters."""
     _check(size, overlap)
-    chars = lambda p: F.transform(F.sequence(F.lit(0), F.length(p) - 1, F.lit(size)), lambda s: F.substring(p, s + 1, F.lit(size)))
+    chars = lambda p: _runs(p, size)
     splits = (*(lambda p, r=r: _split_before(p, r) for r in MARKDOWN_LEVELS), chars)
     return packed(_leveled(df, F.length, size, splits), F.col("_pieces"), F.length, size, overlap)
 
