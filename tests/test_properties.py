@@ -8,8 +8,10 @@ from textloom import plugins
 from textloom.functions import answers as A
 from textloom.functions import text as T
 from textloom.operators import chunking as K
+from textloom.operators import editing as E
 from textloom.operators import enrichment as N
 from textloom.sources import storage as S
+from textloom.streaming import jobs as G
 
 EDGES = [
     (1, ""), (2, "word"), (3, "a" * 1000), (4, "same\nsame\nsame"), (5, "é ñ ß ü"), (6, "   "), (7, "word   "), (8, "# A\n```\n# x\n```\n## B"), (9, "intro\n# A\nbody"),
@@ -150,3 +152,117 @@ def test_long_documents_take_linear_time(spark):
         seconds(run, 1_000)
         once = max(1.0, seconds(run, 100_000))
         assert seconds(run, 200_000) < 2.5 * once
+
+
+def test_last_close(spark):
+    import pyspark.sql.functions as F
+
+    cases = {"": 0, "{}": 2, '{"a": "}"} tail': 10, '{"a": {"b": 1}': 0, "}{": 0, '{"a": "\\\\"} {"': 11, '{"a": "\\"}': 0, "{} x {} y": 7, '{"t": "' + "\\n {" * 100_000 + '"}{': 400_009}
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string").select("i", A.last_close(F.col("c")).alias("n")).orderBy("i").collect()
+    assert [r["n"] for r in rows] == list(cases.values())
+
+
+def test_merge_joins_selected_chunks(spark):
+    texts = {1: ["one two", "two three", "x", "y"], 2: ["a", "b"], 3: ["é" * 400, "é" * 350 + "z", "q"]}
+    rows = [(d, i, t, 10 * i, 10 * i + 5, "title", ["k"]) for d, ts in texts.items() for i, t in enumerate(ts)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_index int, content string, start int, end int, title string, keywords array<string>")
+    chosen = chunks.where("chunk_index < 2 AND doc_id <> 2 OR doc_id = 2 AND chunk_index = 0")
+    import pyspark.sql.functions as F
+
+    want = {
+        1: [("one two three", 0, 15, "", []), ("x", 20, 25, "title", ["k"]), ("y", 30, 35, "title", ["k"])],
+        2: [("a", 0, 5, "title", ["k"]), ("b", 10, 15, "title", ["k"])],
+        3: [("é" * 450 + "z", 0, 15, "", []), ("q", 20, 25, "title", ["k"])],
+    }
+    # The search of an overlap reaches 300 characters, so 50 of the second text's 350 come after it.
+    for selection in (chosen, F.expr("chunk_index < 2 AND doc_id <> 2 OR doc_id = 2 AND chunk_index = 0")):
+        got = E.merge_chunks(chunks, selection)
+        assert got.columns == chunks.columns
+        found = {}
+        for r in got.orderBy("doc_id", "chunk_index").collect():
+            found.setdefault(r["doc_id"], []).append((r["content"], r["start"], r["end"], r["title"], r["keywords"]))
+        assert found == want
+
+
+def test_conversion_keeps_failures_as_rows(spark):
+    def convert(text):
+        if text.startswith("The"):
+            raise ValueError("n" * 500)
+        return text.upper()
+
+    out = N.convert_corpus(spark.createDataFrame([(1, "a"), (2, "The x"), (3, None), (4, "")], "doc_id long, content string"), convert)
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert [rows[i]["ok"] for i in (1, 2, 3, 4)] == [True, False, False, True]
+    assert rows[1]["content"] == "A" and rows[4]["content"] == "" and rows[2]["content"] is None
+    assert rows[2]["error"] == "ValueError: " + "n" * 120 and rows[3]["error"].startswith("AttributeError: ")
+    assert tuple(N.conversion_summary(out).select("succeeded", "failed").first()) == (2, 2)
+
+
+def test_enrichment_retries_and_error_rows(spark):
+    def make():
+        asked = {}
+
+        def answer(text):
+            asked[text] = asked.get(text, 0) + 1
+            if text == "refused":
+                raise RuntimeError("no")
+            if text == "busy" or (text == "later" and asked[text] < 3):
+                raise N.Transient("busy")
+            return '{"title": "' + str(asked[text]) + '"}'
+
+        return answer
+
+    chunks = spark.createDataFrame([(1, i, t) for i, t in enumerate(("now", "later", "busy", "refused"))], "doc_id long, chunk_index int, content string")
+    rows = N.enrich_chunks(chunks, make, attempts=3, base_delay=0.0).orderBy("chunk_index").collect()
+    assert [(r["status"], r["title"], r["error"]) for r in rows] == [("ok", "1", None), ("ok", "3", None), ("error", "", "Transient: busy"), ("error", "", "RuntimeError: no")]
+    assert rows[3]["cleaned_chunk"] == "refused"
+    assert tuple(N.enrichment_summary(N.enrich_chunks(chunks, make, 3, 0.0)).first()) == (4, 2, 2)
+
+
+def test_extractive_fields(spark):
+    import math
+    import re
+    from collections import Counter
+
+    texts = ["The cat sat.  Did the cat sleep? Yes", "dog dog cat\n\nA dog ran!", "   ", "the the the"]
+    chunks = spark.createDataFrame([(1, i, t, ["H", None] if i == 0 else []) for i, t in enumerate(texts)], "doc_id long, chunk_index int, content string, headings array<string>")
+    rows = N.enrich_extractive(chunks, 2).orderBy("chunk_index").collect()
+    words = [Counter(re.findall("[a-z]{3,}", t.lower())) for t in texts]
+    held = Counter(w for c in words for w in c)
+    for r, c in zip(rows, words):
+        score = {w: round(k * math.log(len(texts) / held[w]), 6) for w, k in c.items()}
+        assert r["keywords"] == sorted(score, key=lambda w: (-score[w], w))[:2]
+    assert [r["title"] for r in rows] == ["H", "dog dog cat", "", "the the the"]
+    assert rows[0]["summary"] == "The cat sat." and rows[0]["questions"] == ["Did the cat sleep?"] and rows[2]["summary"] == ""
+
+
+def test_stream_stalls_are_the_batch_gaps(spark, tmp_path):
+    from textloom.operators import catalog as C
+
+    events = [(u, 60 * m) for u, minutes in ((1, (0, 10, 100, 130, 400)), (2, (5, 50, 300)), (3, (390,))) for m in minutes]
+    df = spark.createDataFrame(events, "user_id long, s long").selectExpr("user_id", "timestamp_seconds(s) AS ts")
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    G.stream_stalls(G.stream_table(spark, str(tmp_path), "events"), "user_id", "ts", "1 hour", f"{tmp_path}/out", f"{tmp_path}/state")
+    closed = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").selectExpr("user_id", "unix_seconds(stalled_at) DIV 60 - 60 AS last").collect()}
+    gaps = {tuple(r) for r in C.stall_gaps(df, "user_id", "ts", 3600.0).selectExpr("user_id", "unix_seconds(from_ts) DIV 60 AS last").collect()}
+    assert gaps == {(1, 10), (1, 130), (2, 50)}
+    assert closed == gaps | {(2, 300)}  # the last one of user 2 is silent for an hour by the newest event; the others aren't yet
+
+
+def test_streams_in_batches_and_again(spark, tmp_path):
+    docs = [[(1, "a b c d"), (2, "e")], [(3, "f g h")], [(4, "i j k l m")]]
+
+    def add(i):
+        spark.createDataFrame(docs[i], "doc_id long, content string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs.parquet")
+
+    def run():
+        G.stream_chunks(G.stream_table(spark, str(tmp_path), "docs", 1), "token", f"{tmp_path}/out", f"{tmp_path}/state", size=2, overlap=0)
+        return sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("doc_id", "chunk_index", "content").collect())
+
+    add(0), add(1)
+    first = run()
+    assert run() == first and len(first) == 5
+    assert len(list(tmp_path.glob("out/batch=*"))) >= 2
+    add(2)
+    batch = K.chunk_token(spark.createDataFrame(sum(docs, []), "doc_id long, content string"), 2, 0)
+    assert run() == sorted(tuple(r) for r in batch.select("doc_id", "chunk_index", "content").collect())

@@ -18,23 +18,20 @@ _LIST = "array<string>"
 STRICT = {"allowSingleQuotes": "false"}  # only double quotes make a JSON string
 
 
+#: A string (the last one may be open), a brace, or what lies between.
+_PIECE = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"?|[{}]|[^"{}]++'
+
+
 def last_close(c: Column) -> Column:
     """How many characters reach to the last return to depth 0 outside strings; 0 if none."""
-    state = F.struct(F.lit(False).alias("text"), F.lit(False).alias("escaped"), F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("last"))
-
-    def step(a: Column, ch: Column) -> Column:
-        at = a["at"] + 1
-        plain = ~a["escaped"] & ~a["text"]
-        depth = a["depth"] + F.when(plain & (ch == "{"), 1).when(plain & (ch == "}"), -1).otherwise(0)
-        return F.struct(
-            F.when(a["escaped"], a["text"]).when(ch == '"', ~a["text"]).otherwise(a["text"]).alias("text"),
-            (~a["escaped"] & a["text"] & (ch == "\\")).alias("escaped"),
-            depth.alias("depth"),
-            at.alias("at"),
-            F.when(plain & (ch == "}") & (depth == 0), at).otherwise(a["last"]).alias("last"),
-        )
-
-    return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), state, step, lambda a: a["last"])
+    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("last"))
+
+    def step(a: Column, piece: Column) -> Column:
+        at = a["at"] + F.length(piece)
+        depth = a["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when((piece == "}") & (a["depth"] == 1), at).otherwise(a["last"]).alias("last"))
+
+    return F.aggregate(F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0)), state, step, lambda a: a["last"])
 
 
 def _fields(parsed: Column) -> Column:

@@ -66,9 +66,15 @@ def truncated_error(kind: Column, message: Column, most: int) -> Column:
 
 def suffix_prefix_overlap(a: Column, b: Column, cap: int | None = None) -> Column:
     """The largest n for which the last n characters of a are the first n of b; 0 if none."""
-    most = F.least(F.length(a), F.length(b), *([F.lit(cap)] if cap else []))
-    lengths = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.array_max(F.filter(lengths, lambda n: F.endswith(a, F.left(b, n)))), F.lit(0))
+    tail, head = (F.right(a, F.lit(cap)), F.left(b, F.lit(cap))) if cap else (a, b)
+
+    def longest(p: Column) -> Column:
+        most = F.least(F.length(p["tail"]), F.length(p["head"]))
+        lengths = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+        return F.coalesce(F.array_max(F.filter(lengths, lambda n: F.endswith(p["tail"], F.left(p["head"], n)))), F.lit(0))
+
+    # Both ends are cut once for all lengths.
+    return F.get(F.transform(F.array(F.struct(tail.alias("tail"), head.alias("head"))), longest), F.lit(0))
 
 
 def strip_fence(c: Column, language: str) -> Column:

@@ -33,27 +33,36 @@ def merged_text(contents: Column) -> Column:
     """Texts appended in turn: an overlap with the last TAIL characters is left out, else a blank line goes between."""
 
     def step(acc: Column, x: Column) -> Column:
-        n = F.transform(F.array(T.suffix_prefix_overlap(F.right(acc, F.lit(TAIL)), x, TAIL)), lambda k: F.when(k > 0, F.concat(acc, F.substring(x, k + 1, F.length(x)))).otherwise(F.concat(acc, F.lit("\n\n"), x)))
+        n = F.transform(F.array(T.suffix_prefix_overlap(acc, x, TAIL)), lambda k: F.when(k > 0, F.concat(acc, F.substring(x, k + 1, F.length(x)))).otherwise(F.concat(acc, F.lit("\n\n"), x)))
         return F.get(n, F.lit(0))
 
     return F.aggregate(F.slice(contents, F.lit(2), F.greatest(F.size(contents) - 1, F.lit(0))), F.get(contents, F.lit(0)), step)
 
 
-def merge_chunks(chunks: DataFrame, selection: DataFrame) -> DataFrame:
-    """Chunks of selection(doc_id, chunk_index) become one: the first one's place and start, the last one's end, enrichment cleared.
+def merge_chunks(chunks: DataFrame, selection: DataFrame | Column) -> DataFrame:
+    """Chunks of selection(doc_id, chunk_index), or where a condition on them holds, become one: the first one's place and start, the last one's end, enrichment cleared.
 
-    A document with fewer than two selected chunks is unchanged.
+    A document with fewer than two selected chunks is unchanged. A condition saves computing the chunks again for the selection.
     """
-    chosen = chunks.join(selection.select("doc_id", "chunk_index").distinct(), ["doc_id", "chunk_index"])
-    parts = F.sort_array(F.collect_list(F.struct("chunk_index", "content", "start", "end")))
-    groups = chosen.groupBy("doc_id").agg(parts.alias("_parts")).where(F.size("_parts") > 1)
-    made = groups.select(
-        "doc_id", F.get("_parts", F.lit(0))["chunk_index"].alias("_first"), F.element_at("_parts", -1)["end"].alias("_end"),
-        merged_text(F.transform("_parts", lambda p: p["content"])).alias("_text"), F.transform("_parts", lambda p: p["chunk_index"]).alias("_gone"),
+    if isinstance(selection, Column):
+        flagged = chunks.withColumn("_selected", F.coalesce(selection, F.lit(False)))
+    else:
+        known = selection.select("doc_id", "chunk_index").distinct().withColumn("_selected", F.lit(True))
+        flagged = chunks.join(known, ["doc_id", "chunk_index"], "left").withColumn("_selected", F.coalesce("_selected", F.lit(False)))
+    # One shuffle by document: its rows are gathered, merged, and dealt out again where they are.
+    parts = F.sort_array(F.collect_list(F.when(F.col("_selected"), F.struct("chunk_index", "content", "start", "end"))))
+    rows = F.collect_list(F.struct(*[c for c in flagged.columns if c != "doc_id"]))
+    docs = flagged.groupBy("doc_id").agg(parts.alias("_parts"), rows.alias("_rows"))
+    merges = F.size("_parts") > 1
+    made = docs.select(
+        "doc_id", "_rows", merges.alias("_merges"), F.get("_parts", F.lit(0))["chunk_index"].alias("_first"), F.get("_parts", F.size("_parts") - 1)["end"].alias("_end"),
+        F.when(merges, merged_text(F.transform("_parts", lambda p: p["content"]))).alias("_text"),
     )
-    joined = chunks.join(made, "doc_id", "left")
-    first = F.col("chunk_index") == F.col("_first")
-    kept = joined.where(F.col("_gone").isNull() | first | ~F.array_contains("_gone", F.col("chunk_index")))
+    first = F.col("_merges") & (F.col("chunk_index") == F.col("_first"))
+    merged = F.struct("_end", "_text")
+    # The merged text goes with the first selected chunk only.
+    dealt = made.select("doc_id", F.explode(F.transform("_rows", lambda r: F.struct(r.alias("r"), F.when(r["chunk_index"] == F.col("_first"), merged).alias("m")))).alias("_x"), "_merges", "_first")
+    kept = dealt.select("doc_id", "_x.r.*", "_x.m._text", "_x.m._end", "_merges", "_first").where(~F.col("_merges") | ~F.col("_selected") | first)
     out = kept.withColumn("content", F.when(first, F.col("_text")).otherwise(F.col("content"))).withColumn("end", F.when(first, F.col("_end")).otherwise(F.col("end")))
     for c in (*ENRICHMENT, *ENRICHMENT_LISTS):
         if c in chunks.columns:

@@ -14,6 +14,8 @@ from textloom.functions import text as T
 from textloom.operators import chunking as K
 from textloom.operators import editing as E
 
+#: Tasks that a term is dealt to when its document frequency is looked up.
+SALTS = 16
 #: HTML to Markdown as pattern and replacement, in this order; the patterns mean the same to Java and RE2.
 HTML_RULES = (
     (r"(?is)<!--.*?-->", ""),
@@ -132,7 +134,10 @@ def tfidf_keywords(chunks: DataFrame, k: int = 5) -> DataFrame:
     tf = terms.groupBy("doc_id", "chunk_index", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = chunks.agg(F.count("*").alias("n"))
-    scored = tf.join(df, "term").join(F.broadcast(n)).withColumn("score", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6))  # n is one row
+    # A term of every chunk is dealt to SALTS tasks.
+    salted = tf.withColumn("salt", F.pmod(F.xxhash64("doc_id", "chunk_index"), F.lit(SALTS)).cast("int"))
+    dealt = df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    scored = salted.join(dealt, ["term", "salt"]).join(F.broadcast(n)).withColumn("score", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6))  # n is one row
     place = F.row_number().over(Window.partitionBy("doc_id", "chunk_index").orderBy(F.desc("score"), "term"))
     return scored.withColumn("rank", place).where(F.col("rank") <= k).select("doc_id", "chunk_index", "term", "score", "rank")
 
@@ -140,7 +145,8 @@ def tfidf_keywords(chunks: DataFrame, k: int = 5) -> DataFrame:
 def enrich_extractive(chunks: DataFrame, k: int = 5) -> DataFrame:
     """chunks(doc_id, chunk_index, content, headings) with the six fields filled without a model."""
     words = tfidf_keywords(chunks, k).groupBy("doc_id", "chunk_index").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("keywords"))
-    sentences = F.filter(F.transform(F.regexp_extract_all("content", F.lit(T.SENTENCE), F.lit(0)), F.trim), lambda s: s != "")
+    space = r"^[ \t\n\f\r]+|[ \t\n\f\r]+$"
+    sentences = F.filter(F.transform(F.regexp_extract_all("content", F.lit(T.SENTENCE), F.lit(0)), lambda s: F.regexp_replace(s, space, "")), lambda s: s != "")
     first_line = F.get(F.filter(F.split("content", "\n"), lambda s: F.trim(s) != ""), F.lit(0))
     rows = chunks.join(words, ["doc_id", "chunk_index"], "left").withColumn("_s", sentences)
     return rows.select(
@@ -148,7 +154,7 @@ def enrich_extractive(chunks: DataFrame, k: int = 5) -> DataFrame:
         F.trim(F.regexp_replace("content", r"[ \t\n\f\r]+", " ")).alias("cleaned_chunk"),
         F.coalesce(F.try_element_at(F.filter("headings", lambda h: h.isNotNull()), F.lit(-1)), F.trim(first_line), F.lit("")).alias("title"),
         F.array_join("headings", " > ").alias("context"),
-        F.coalesce(F.regexp_replace(F.get("_s", F.lit(0)), r"[ \t\n\f\r]+$", ""), F.lit("")).alias("summary"),
+        F.coalesce(F.get("_s", F.lit(0)), F.lit("")).alias("summary"),
         F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"),
-        F.filter("_s", lambda s: F.endswith(F.regexp_replace(s, r"[ \t\n\f\r]+$", ""), F.lit("?"))).alias("questions"),
+        F.filter("_s", lambda s: F.endswith(s, F.lit("?"))).alias("questions"),
     )

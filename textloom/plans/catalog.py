@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import catalog as C
 from textloom.plans.registry import query, table
+from textloom.sources.storage import shared_folder
 
 
 @query("select count(*) filter (n_chars <= 2000) as uploaded, count(*) filter (not n_chars <= 2000) as failed from documents")
@@ -168,11 +169,15 @@ def t3_metadata_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def globally_numbered(rows: DataFrame, place: str, *order) -> DataFrame:
-    """Rows with their place in a global order, without one task seeing all: ranges are sorted, counted and shifted."""
+    """Rows with their place in a global order, without one task seeing all: ranges are sorted, counted and shifted.
+
+    The ranges are written to the shared folder, so both branches see the same ones.
+    """
     from pyspark.sql import Window
 
+    shared_folder(rows.sparkSession)
     ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inner = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    inner = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).checkpoint()
     sizes = inner.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return inner.join(before, "_part").withColumn(place, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")

@@ -51,7 +51,9 @@ def f5_repair_truncated_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pattern_sql(field: str) -> str:
-    return f"""regexp_extract(r, '"{field}"\\s*:\\s*"([^"\\\\]*(?:\\\\.[^"\\\\]*)*)"', 1, 's')"""
+    found = f"""regexp_extract(r, '"{field}"\\s*:\\s*"([^"\\\\]*(?:\\\\.[^"\\\\]*)*)"', 1, 's')"""
+    quoted = f"""('{{"v":"' || {found} || '"}}')"""
+    return f"case when json_valid({quoted}) then json_extract_string({quoted}, '$.v') else {found} end"
 
 
 _BY_PATTERN = f"""pt as (select doc_id, original, r, last, regexp_matches(r, '"cleaned_chunk"\\s*:\\s*"([^"\\\\]*(?:\\\\.[^"\\\\]*)*)"', 's') as has_c, {_pattern_sql("cleaned_chunk")} as p_c, {_pattern_sql("title")} as p_t,
@@ -142,7 +144,7 @@ k as (select c.doc_id, c.chunk_index, case when n > 1 and c.chunk_index = first
 select doc_id, row_number() over (partition by doc_id order by chunk_index) - 1 as chunk_index, content, start, "end" from k""")
 def e1_merge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
-    return E.merge_chunks(chunks, chunks.where("chunk_index % 4 IN (1, 2)")).select("doc_id", "chunk_index", "content", "start", "end")
+    return E.merge_chunks(chunks, F.expr("chunk_index % 4 IN (1, 2)")).select("doc_id", "chunk_index", "content", "start", "end")
 
 
 @query(f"""with {_CHUNKS_SQL}, t as (select doc_id, chunk_index, unnest(regexp_extract_all(lower(content), '[a-z]{{3,}}')) as term from c),

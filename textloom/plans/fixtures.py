@@ -10,11 +10,14 @@ from textloom.plans.registry import table
 _MD_DOCS = """select doc_id, concat('# Document ', cast(doc_id as {string}), chr(10), chr(10),
   case when doc_id % 5 = 0 then concat('```', chr(10), '# not a heading', chr(10), '```', chr(10), chr(10)) else '' end,
   replace(text, chr(10), concat(chr(10), chr(10)))) as content from documents"""
-_RAW_LLM = """with b as (select doc_id, length(text) n, replace(replace(replace(substring(text, 1, 60), chr(10), ' '), chr(92), ' '), '"', ' ') t from documents),
-j as (select doc_id, t, concat('{"cleaned_chunk": "', t, '", "title": "T', cast(doc_id as string),
-        '", "context": "", "summary": "n=', cast(n as string), '", "keywords": ["a", "b"], "questions": []}') g from b)
+_ESCAPED = "coalesce(text, '')"
+for _code, _letter in ((92, "chr(92)"), (34, "chr(34)"), (10, "'n'"), (13, "'r'"), (9, "'t'")):
+    _ESCAPED = f"replace({_ESCAPED}, chr({_code}), concat(chr(92), {_letter}))"
+_RAW_LLM = f"""with b as (select doc_id, length(text) n, coalesce(text, '') t, {_ESCAPED} e from documents),
+j as (select doc_id, t, concat('{{"cleaned_chunk": "', e, '", "title": "T', cast(doc_id as string),
+        '", "context": "", "summary": "n=', cast(n as string), '", "keywords": ["a", "b"], "questions": []}}') g from b)
 select doc_id, t as original, case doc_id % 6 when 0 then g when 1 then concat('```json', chr(10), g, chr(10), '```') when 2 then substring(g, 1, length(g) - 20)
-  when 3 then concat(g, ' {"title": "cut') when 4 then replace(g, '["a", "b"]', '"a"') else 'I cannot do that.' end as raw_response from j"""
+  when 3 then concat(g, ' {{"title": "cut') when 4 then replace(g, '["a", "b"]', '"a"') else 'I cannot do that.' end as raw_response from j"""
 
 MD_DOCS_SQL = _MD_DOCS.format(string="string")
 RAW_LLM_SQL = _RAW_LLM
