@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import html_crf, kneser_ney, maxent_lm, media, mixing, ngram_join, packing, pii, quality_rules, toxicity
+from textloom.llm import collocations, filter_audit, html_crf, kneser_ney, maxent_lm, media, mixing, ngram_join, packing, pii, quality_rules, toxicity
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -113,6 +113,66 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_copies(media.rendered(table(spark, sf_dir, "embeddings")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of two and three words of each language that hold together best."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+#: Every n-gram of one to three words within pieces, counted by language, and every cut of those that occur ten times.
+OP11_SQL = r"""
+with d as (select row_number() over () as r, coalesce(lang, 'und') as lang,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as ws from d),
+n as (select lang, cast(sum(len(ws)) as bigint) as n from p group by lang),
+g as (select lang, len, ws[i:i + len - 1] as g from (select lang, ws, len, unnest(range(1, len(ws) - len + 2)) as i from p, (values (1), (2), (3)) as k(len))),
+f as (select lang, len, g, count(*) as a from g group by lang, len, g),
+c as (select * from f where len > 1 and a >= 10),
+k as (select lang, len, g, a, k, array_to_string(g[1:k], ' ') as x, array_to_string(g[k + 1:len], ' ') as y from (select *, unnest(range(1, len)) as k from c)),
+s as (select lang, array_to_string(g, ' ') as s, a from f where len < 3 and a >= 10),
+cut as (select k.*, x.a as l, y.a as r, cast(1000000 as hugeint) * k.a * k.a // (cast(x.a as hugeint) * y.a) as score
+        from k join s x on x.lang = k.lang and x.s = k.x join s y on y.lang = k.lang and y.s = k.y),
+worst as (select * from cut qualify row_number() over (partition by lang, g order by score, k) = 1),
+longer as (select lang, h, max(a) as m from (select lang, unnest([g[1:2], g[2:3]]) as h, a from c where len = 3) group by lang, h),
+kept as (select w.*, array_to_string(w.g, ' ') as phrase from worst w left join longer o on w.len = 2 and o.lang = w.lang and o.h = w.g
+         where o.m is null or 100 * o.m < 50 * w.a),
+best as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, cast(score as bigint) as score from best join n using (lang) where rank <= 2000
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five text filters remove from each source in each of their 120 orders."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Each document's failures, then every order of the filters over all documents' patterns.
+OP12_SQL = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+m as (select doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, length(regexp_replace(t, '[^A-Z]', '', 'g')) as caps from d),
+lo as (select t, min(doc_id) as first from d group by t),
+lab as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+b as (select part, case when len(ws) < 200 then 1 else 0 end + case when 100 * len(list_distinct(ws)) < 50 * len(ws) then 2 else 0 end
+        + case when 100 * caps > 2 * length(m.t) then 4 else 0 end + case when regexp_matches(m.t, '[#$%&*|]') then 8 else 0 end
+        + case when lo.first < m.doc_id then 16 else 0 end as bits, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic
+      from m join lo on lo.t = m.t left join lab on lab.doc_id = m.doc_id),
+c as (select part, bits, count(*) as n, sum(good) as good, sum(toxic) as toxic from b group by part, bits),
+l as (select 'A' as x, 1 as v union all select 'B', 2 union all select 'C', 4 union all select 'D', 8 union all select 'E', 16),
+o as (select row_number() over () as o, a.x || b.x || c.x || d.x || e.x as filter_order, [a.v, b.v, c.v, d.v, e.v] as vs from l a, l b, l c, l d, l e
+      where a.v + b.v + c.v + d.v + e.v = 31 and len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5),
+s as (select filter_order, step, vs[step] as own, coalesce(list_sum(vs[1:step - 1]), 0) as before from o, (select unnest(range(1, 6)) as step)),
+x as (select part, filter_order, step, own, n, good, toxic, bits, bits & own <> 0 as fails, bits & cast(before as integer) <> 0 as gone from c, s),
+y as (select part, filter_order, step, own, sum(n) filter (not fails and not gone) as kept, sum(n) filter (fails and not gone) as removed,
+        sum(n) filter (fails and gone) as redundant, sum(n) filter (bits = own) as unique_fails,
+        sum(good) filter (fails and not gone) as good_lost, sum(toxic) filter (fails and not gone) as toxic_lost
+      from x group by part, filter_order, step, own)
+select part, filter_order, cast(step as integer) as step, cast(coalesce(kept, 0) as bigint) as kept, cast(coalesce(removed, 0) as bigint) as removed,
+       cast(coalesce(redundant, 0) as bigint) as redundant, cast(coalesce(unique_fails, 0) as bigint) as unique_fails,
+       cast(coalesce(good_lost, 0) as bigint) as good_lost, cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost,
+       cast(coalesce(sum(removed) over (partition by part, own), 0) as bigint) as shapley
+from y
+"""
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
@@ -124,5 +184,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_maxent_lm": op10_maxent_lm,
+    "op11_collocations": op11_collocations,
+    "op12_filter_audit": op12_filter_audit,
 }
-ORACLES = {"op3_quality_rules": OP3_SQL}
+ORACLES = {"op3_quality_rules": OP3_SQL, "op11_collocations": OP11_SQL, "op12_filter_audit": OP12_SQL}
