@@ -41,7 +41,7 @@ GROWTH = 8
 #: A frontier of at most this many phrases goes to all tasks (9 bytes each); a larger one meets the phrases in a join.
 FRONTIER_ROWS = 1 << 20
 #: A task merges the counts of this many phrases, if its shards have so many, before it hands them on.
-MERGED = 1 << 20
+MERGED = 1 << 18
 
 #: Lower case for A-Z; the ends of pieces become line feeds, white space inside them spaces.
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -111,9 +111,14 @@ def _merged(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarra
         if sum(len(r[0]) for r in held) > MERGED:
             held = [_added(held)]
             if len(held[0][0]) > MERGED // 2:
-                yield held.pop()
+                yield from _cut(held.pop())
     if held:
-        yield _added(held)
+        yield from _cut(_added(held))
+
+
+def _cut(rows: tuple[np.ndarray, ...], size: int = 1 << 16) -> Iterator[tuple[np.ndarray, ...]]:
+    for at in range(0, len(rows[0]), size):
+        yield tuple(r[at : at + size] for r in rows)
 
 
 def _added(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:

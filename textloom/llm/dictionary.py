@@ -22,8 +22,8 @@ from textloom.llm import textscan as ts
 from textloom.llm.shared import shared_folder
 
 #: Bytes of text in one shard; a longer text is a shard by itself.
-SHARD_BYTES = 8 << 20
-#: Rows that Arrow hands over at once: memory is bounded by the shard and the longest text.
+SHARD_BYTES = 4 << 20
+#: Bits of a row's number within its partition, in numbers that Spark gives.
 _PARTITION_BITS = 33
 
 _folders: dict[str, str] = {}
