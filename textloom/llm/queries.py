@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import collocations, filter_audit, html_crf, kneser_ney, maxent_lm, media, mixing, ngram_join, packing, pii, quality_rules, toxicity
+from textloom.llm import collocations, filter_audit, html_crf, kneser_ney, language_mixture, maxent_lm, media, mixing, ngram_join, packing, pii, quality_rules, toxicity
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -173,6 +173,13 @@ from y
 """
 
 
+def op13_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main language of all documents, learned from four folds of five."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_mixture.language_mixtures(docs, language_mixture.fit(docs, language_mixture.learns()))
+    return found.select("doc_id", language_mixture.held_out().alias("held_out"), "lang_pred", "score", F.size("languages").cast("long").alias("n_languages"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
@@ -186,5 +193,6 @@ QUERIES = {
     "op10_maxent_lm": op10_maxent_lm,
     "op11_collocations": op11_collocations,
     "op12_filter_audit": op12_filter_audit,
+    "op13_language_mixture": op13_language_mixture,
 }
 ORACLES = {"op3_quality_rules": OP3_SQL, "op11_collocations": OP11_SQL, "op12_filter_audit": OP12_SQL}
