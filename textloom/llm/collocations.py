@@ -86,13 +86,13 @@ def piece_shards(docs: DataFrame, lang: str = "lang", text: str = "text") -> Dat
 
 def numbered_shards(shards: DataFrame, words: DataFrame) -> DataFrame:
     """shard, ids: the shards with global codes (binary array of int), 0 for rare words and ends of pieces. Stored."""
-    mapped = D.with_ids(shards.drop("n"), words, ("lang",)).select("shard", "codes", "places", "ids")
+    mapped = D.with_ids(shards.drop("n"), words, ("lang",)).select("shard", "codes", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 codes = np.frombuffer(batch.column("codes")[i].as_buffer(), dtype=np.int32)
-                ids = np.concatenate([[0], D.id_table(batch.column("places")[i], batch.column("ids")[i], int(codes.max(initial=0)))])[codes]
+                ids = np.concatenate([[0], D.id_table(batch.column("ids")[i], int(codes.max(initial=0)))])[codes]
                 if len(ids) and ids.max() >> 31:
                     raise ValueError("more than 2^31 frequent words")
                 # runs of zeros say no more than one

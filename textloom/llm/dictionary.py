@@ -63,6 +63,25 @@ def coded(texts: ts.Texts) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray
     return encoded.dictionary.cast(pa.binary()), encoded.indices.to_numpy(zero_copy_only=False).astype(np.int32), starts, ends
 
 
+class Words:
+    """A dictionary that grows with each batch of a shard."""
+
+    def __init__(self) -> None:
+        self.codes: dict[bytes, int] = {}
+        self.counts = np.zeros(0, dtype=np.int64)
+
+    def add(self, words: pa.Array, codes: np.ndarray) -> np.ndarray:
+        """The codes here of all words of a batch, given by its own distinct words and codes."""
+        known = self.codes
+        mapped = np.array([known.setdefault(w, len(known)) for w in words.to_pylist()], dtype=np.int32)
+        counts = np.zeros(len(known), dtype=np.int64)
+        counts[: len(self.counts)] = self.counts
+        if len(mapped):
+            counts[mapped] += np.bincount(codes, minlength=len(mapped))
+        self.counts = counts
+        return mapped[codes] if len(codes) else codes
+
+
 def one_row(values: pa.Array, kind: pa.DataType) -> pa.Array:
     """An array of one list."""
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
@@ -88,16 +107,22 @@ def dictionary(shards: DataFrame, keys: tuple[str, ...] = (), least: int = 1) ->
     return numbered(counted.where(F.col("f") >= least))
 
 
+#: A place and an id share one number: ids below 2^36, places below 2^27.
+_ID_BITS = 36
+
+
 def with_ids(shards: DataFrame, words: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """shards without their words, but with ``ids``: places (array of int) and ids (array of long) of the words that are in the dictionary."""
+    """shards without their words, but with ``ids`` (array of long): place and id, in one number, of each word that is in the dictionary."""
     own = shards.select("shard", *keys, F.posexplode("words").alias("place", "word"))
-    found = own.join(words.select(*keys, "word", "id"), [*keys, "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("ids"))
-    return shards.drop("words", "counts").join(found, "shard", "left").withColumn("places", F.col("ids.place")).withColumn("ids", F.col("ids.id"))
+    both = F.shiftleft(F.col("place").cast("long"), _ID_BITS).bitwiseOR(F.col("id"))
+    found = own.join(words.select(*keys, "word", "id"), [*keys, "word"]).groupBy("shard").agg(F.collect_list(both).alias("ids"))
+    return shards.drop("words", "counts").join(found, "shard", "left")
 
 
-def id_table(places: pa.Scalar, ids: pa.Scalar, size: int) -> np.ndarray:
+def id_table(ids: pa.Scalar, size: int) -> np.ndarray:
     """The global id of each local code of a shard; 0 for words that are not in the dictionary."""
     table = np.zeros(size, dtype=np.int64)
-    if places.is_valid:
-        table[places.values.to_numpy(zero_copy_only=False)] = ids.values.to_numpy(zero_copy_only=False)
+    if ids.is_valid:
+        both = ids.values.to_numpy(zero_copy_only=False)
+        table[both >> _ID_BITS] = both & ((1 << _ID_BITS) - 1)
     return table

@@ -19,10 +19,10 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from textloom.llm import dictionary as D
 from textloom.llm import textscan as ts
@@ -30,6 +30,8 @@ from textloom.llm import textscan as ts
 LETTERS = "ABCDE"
 BIT = {letter: 1 << i for i, letter in enumerate(LETTERS)}
 MIN_WORDS = 200
+#: Bytes of text in one shard of the matrix, in slices that share the shard's dictionary; a longer text is a shard by itself.
+SHARD_BYTES = 16 << 20
 _MARKS = ts.byte_table("#$%&*|")
 _CAPITALS = ts.byte_table("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
@@ -44,30 +46,37 @@ def document_shards(docs: DataFrame, key: str = "doc_id", part: str = "source",
     source = source.withColumn("task", F.spark_partition_id())
     kind = source.schema["key"].dataType
     lists = [("words", T.BinaryType()), ("counts", T.LongType()), ("keys", kind), ("parts", T.StringType()), ("digests", T.BinaryType())]
+    arrow = [to_arrow_type(t) for _, t in lists]
     schema = T.StructType([T.StructField("shard", T.LongType()), *(T.StructField(n, T.ArrayType(t)) for n, t in lists)] + [T.StructField(n, T.BinaryType()) for n in ("flags", "indptr", "columns", "values")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = 0
-        for b in ts.slices(batches, "text", D.SHARD_BYTES):
+        made, held, size, words = 0, [], 0, D.Words()
+
+        def shard(task: int) -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*(h[3:] for h in held))]
+            columns[1] = np.concatenate([[0], np.cumsum(columns[1])])
+            lists = [pa.array(list(words.codes), pa.binary()), pa.array(words.counts), *(pa.concat_arrays([h[k] for h in held]) for k in range(3))]
+            cells = [D.one_row(x, kind_) for x, kind_ in zip(lists, arrow)]
+            return pa.RecordBatch.from_arrays([pa.array([(task << D._PARTITION_BITS) + made], pa.int64()), *cells, *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=schema.names)
+
+        for b in ts.slices(batches, "text"):
             texts = ts.Texts(b.column("text"))
-            words, codes, starts, _ = D.coded(texts)
-            per_text = texts.word_counts(starts)
-            rows = np.repeat(np.arange(texts.n, dtype=np.int64), per_text)
-            cells, values = np.unique(rows * max(1, len(words)) + codes, return_counts=True)
-            indptr = np.searchsorted(cells, np.arange(texts.n + 1, dtype=np.int64) * max(1, len(words)))
+            distinct, codes, starts, _ = D.coded(texts)
+            codes = words.add(distinct, codes)
+            rows, wide = np.repeat(np.arange(texts.n, dtype=np.int64), texts.word_counts(starts)), max(1, len(words.codes))
+            cells, values = np.unique(rows * wide + codes, return_counts=True)
+            per_text = np.bincount(cells // wide, minlength=texts.n).astype(np.int64)
             flags = np.where(100 * texts.count(_CAPITALS) > 2 * texts.code_points(), BIT["C"], 0) + np.where(texts.count(_MARKS) > 0, BIT["D"], 0)
             data, at = texts.bytes, texts.offsets
-            digests = [hashlib.sha256(data[at[i] : at[i + 1]]).digest() for i in range(texts.n)]
-            shard = (b.column("task")[0].as_py() << D._PARTITION_BITS) + made
-            made += 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([shard], pa.int64()), D.one_row(words, pa.binary()), D.one_row(pa.array(np.bincount(codes, minlength=len(words))), pa.int64()),
-                    D.one_row(b.column("key"), b.column("key").type), D.one_row(b.column("part"), pa.string()), D.one_row(pa.array(digests, pa.binary()), pa.binary()),
-                    *(pa.array([x.tobytes()], pa.binary()) for x in (flags.astype(np.uint8), indptr.astype(np.int64), (cells % max(1, len(words))).astype(np.int32), values.astype(np.int32))),
-                ],
-                names=schema.names,
-            )
+            digests = pa.array([hashlib.sha256(data[at[i] : at[i + 1]]).digest() for i in range(texts.n)], pa.binary())
+            held.append((b.column("key"), b.column("part"), digests, flags.astype(np.uint8), per_text, (cells % wide).astype(np.int32), values.astype(np.int32)))
+            size += len(data)
+            if size >= SHARD_BYTES:
+                yield shard(b.column("task")[0].as_py())
+                made, held, size, words = made + 1, [], 0, D.Words()
+            task = b.column("task")[0].as_py()
+        if held:
+            yield shard(task)
 
     return D.stored(source.mapInArrow(run, schema))
 
@@ -89,7 +98,7 @@ def document_term_matrix(docs: DataFrame, key: str = "doc_id", part: str = "sour
             for i in range(batch.num_rows):
                 b = batch.slice(i, 1)
                 codes = np.frombuffer(b.column("columns")[0].as_buffer(), dtype=np.int32)
-                ids = D.id_table(b.column("places")[0], b.column("ids")[0], int(codes.max(initial=-1)) + 1)
+                ids = D.id_table(b.column("ids")[0], int(codes.max(initial=-1)) + 1)
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array([(ids[codes] - 1).tobytes()], pa.binary())], names=schema.names)
 
     return words, mapped.mapInArrow(run, schema)
