@@ -32,6 +32,7 @@ BIT = {letter: 1 << i for i, letter in enumerate(LETTERS)}
 MIN_WORDS = 200
 #: Bytes of text in one shard of the matrix, in slices that share the shard's dictionary; a longer text is a shard by itself.
 SHARD_BYTES = 16 << 20
+_SLICE_BYTES = 4 << 20
 _MARKS = ts.byte_table("#$%&*|")
 _CAPITALS = ts.byte_table("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
@@ -59,7 +60,7 @@ def document_shards(docs: DataFrame, key: str = "doc_id", part: str = "source",
             cells = [D.one_row(x, kind_) for x, kind_ in zip(lists, arrow)]
             return pa.RecordBatch.from_arrays([pa.array([(task << D._PARTITION_BITS) + made], pa.int64()), *cells, *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=schema.names)
 
-        for b in ts.slices(batches, "text"):
+        for b in ts.slices(batches, "text", _SLICE_BYTES):
             texts = ts.Texts(b.column("text"))
             distinct, codes, starts, _ = D.coded(texts)
             codes = words.add(distinct, codes)
@@ -81,52 +82,63 @@ def document_shards(docs: DataFrame, key: str = "doc_id", part: str = "source",
     return D.stored(source.mapInArrow(run, schema))
 
 
+def mapped_shards(docs: DataFrame, key: str = "doc_id", part: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The dictionary, and document_shards with the ids of their words."""
+    local = document_shards(docs, key, part, text)
+    words = D.dictionary(local)
+    return words, D.with_ids(local, words)
+
+
+def global_columns(shard: pa.RecordBatch) -> np.ndarray:
+    """The columns of a mapped shard (a batch of one row) in the matrix of all shards: dictionary ids less one."""
+    codes = np.frombuffer(shard.column("columns")[0].as_buffer(), dtype=np.int32)
+    return D.id_table(shard.column("ids")[0], int(codes.max(initial=-1)) + 1)[codes] - 1
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1)
+
+
 def document_term_matrix(docs: DataFrame, key: str = "doc_id", part: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The dictionary (word, f, id from 1) and the shards of the matrix, whose columns are those ids less one.
 
     A shard has keys, parts, digests and flags of its documents, and indptr, columns, values as binary arrays of long,
     long and int: row i has values[indptr[i]:indptr[i+1]] in columns[indptr[i]:indptr[i+1]].
     """
-    local = document_shards(docs, key, part, text)
-    words = D.dictionary(local)
-    mapped = D.with_ids(local, words)
+    words, mapped = mapped_shards(docs, key, part, text)
     kept = ("shard", "keys", "parts", "digests", "flags", "indptr", "values")
     schema = T.StructType([*(mapped.schema[n] for n in kept), T.StructField("columns", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b = batch.slice(i, 1)
-                codes = np.frombuffer(b.column("columns")[0].as_buffer(), dtype=np.int32)
-                ids = D.id_table(b.column("ids")[0], int(codes.max(initial=-1)) + 1)
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array([(ids[codes] - 1).tobytes()], pa.binary())], names=schema.names)
+        for b in _shards(batches):
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array([global_columns(b).tobytes()], pa.binary())], names=schema.names)
 
     return words, mapped.mapInArrow(run, schema)
 
 
-def measured(matrix: DataFrame) -> DataFrame:
-    """Per document of the matrix: key, part, digest, n_words (row sum), n_distinct (nonzero count), bits of A to D."""
-    kind = matrix.schema["keys"].dataType.elementType
+def measured(mapped: DataFrame) -> DataFrame:
+    """Per document of mapped shards: key, part, digest, n_words (row sum), n_distinct (nonzero count), bits of A to D.
+
+    A task builds the rows of the matrix and adds them up at once, so that the matrix needn't be written.
+    """
+    kind = mapped.schema["keys"].dataType.elementType
     names = ("key", "part", "digest", "n_words", "n_distinct", "bits")
     kinds = (kind, T.StringType(), T.BinaryType(), T.LongType(), T.LongType(), T.IntegerType())
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                indptr, columns, values, flags = (
-                    np.frombuffer(b.column(n)[i].as_buffer(), dtype=t) for n, t in (("indptr", np.int64), ("columns", np.int64), ("values", np.int32), ("flags", np.uint8))
-                )
-                sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-                n_words, n_distinct = sums[indptr[1:]] - sums[indptr[:-1]], np.concatenate([[0], np.cumsum(columns >= 0)])
-                n_distinct = n_distinct[indptr[1:]] - n_distinct[indptr[:-1]]
-                bits = flags + np.where(n_words < MIN_WORDS, BIT["A"], 0) + np.where(100 * n_distinct < 50 * n_words, BIT["B"], 0)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("keys")[i].values, b.column("parts")[i].values, b.column("digests")[i].values, pa.array(n_words, pa.int64()), pa.array(n_distinct, pa.int64()), pa.array(bits, pa.int32())],
-                    names=names,
-                )
-
-    return matrix.select("keys", "parts", "digests", "flags", "indptr", "columns", "values").mapInArrow(run, schema)
+        for b in _shards(batches):
+            indptr, values, flags = (np.frombuffer(b.column(n)[0].as_buffer(), dtype=t) for n, t in (("indptr", np.int64), ("values", np.int32), ("flags", np.uint8)))
+            sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+            nonzero = np.concatenate([[0], np.cumsum(global_columns(b) >= 0)])
+            n_words, n_distinct = sums[indptr[1:]] - sums[indptr[:-1]], nonzero[indptr[1:]] - nonzero[indptr[:-1]]
+            bits = flags + np.where(n_words < MIN_WORDS, BIT["A"], 0) + np.where(100 * n_distinct < 50 * n_words, BIT["B"], 0)
+            made = [b.column("keys")[0].values, b.column("parts")[0].values, b.column("digests")[0].values, pa.array(n_words, pa.int64()), pa.array(n_distinct, pa.int64()), pa.array(bits, pa.int32())]
+            yield pa.RecordBatch.from_arrays(made, names=names)
+
+    return mapped.select("keys", "parts", "digests", "flags", "indptr", "columns", "values", "ids").mapInArrow(run, schema)
 
 
 def failures(measures: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -184,5 +196,5 @@ def interactions(patterns: DataFrame) -> DataFrame:
 
 def filter_audit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", part: str = "source", text: str = "text") -> DataFrame:
     """The interactions of the five filters over docs, within each part."""
-    _, matrix = document_term_matrix(docs, key, part, text)
-    return interactions(failures(measured(matrix), labels, key))
+    _, mapped = mapped_shards(docs, key, part, text)
+    return interactions(failures(measured(mapped), labels, key))
