@@ -6,12 +6,17 @@ work on lines and shuffle once, by document. Null content gives no chunks; extra
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from textloom.functions import text as T
+from textloom.functions.places import located
 
 CHUNK = "array<struct<content:string,start:int>>"
 MARKER = "\u0001"
@@ -50,9 +55,16 @@ def _chunks_at(contents: Column, starts: Column) -> Column:
 
 
 def _exploded(df: DataFrame, chunks: str = "_chunks") -> DataFrame:
+    """Rows of the chunks of each document. Where df has ``_keep_error``, every document has a row: those with an error, or
+    without chunks, one whose chunk_index is null; all rows then carry error and total_chunks."""
+    outcomes = "_keep_error" in df.columns
+    if outcomes:
+        df = df.withColumn(chunks, F.when(F.col("_keep_error").isNull(), F.col(chunks)))
+        df = df.withColumn("_keep_total_chunks", F.greatest(F.coalesce(F.size(chunks), F.lit(0)), F.lit(0)))
     rows = df.select("doc_id", *[c for c in df.columns if c.startswith("_keep_")], F.posexplode_outer(chunks).alias("chunk_index", "_c"))
     # The outer form, as the inner one makes the optimizer repeat the whole expression in a filter below.
-    rows = rows.where("chunk_index IS NOT NULL")
+    if not outcomes:
+        rows = rows.where("chunk_index IS NOT NULL")
     rest = [F.col(c).alias(c.removeprefix("_keep_")) for c in df.columns if c.startswith("_keep_")]
     end = F.col("_c.start") + F.length("_c.content")
     return rows.select("doc_id", *rest, "chunk_index", F.col("_c.content").alias("content"), F.col("_c.start").alias("start"), end.alias("end"), T.token_count(F.col("_c.content")).alias("token_count"))
@@ -62,7 +74,7 @@ def chunk_token(df: DataFrame, size: int = 512, overlap: int = 51) -> DataFrame:
     """Windows of size tokens, each beginning overlap tokens before the last one's end; the last window is the first to reach the end."""
     _check(size, overlap)
     step = size - overlap
-    base = df.select("doc_id", "content", T.tokens(F.col("content")).alias("_tokens")).where("content IS NOT NULL")
+    base = df.select("doc_id", "content", *[c for c in df.columns if c.startswith("_keep_")], T.tokens(F.col("content")).alias("_tokens")).where("content IS NOT NULL")
     n = F.size("_tokens")
     starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(step)))
     placed = base.withColumn("_starts", starts).withColumn("_lengths", F.transform("_tokens", F.length))
@@ -340,8 +352,9 @@ def chunk_table(df: DataFrame, rows: int = 3) -> DataFrame:
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Null where a vector is null or all zeros."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def boundary_groups(rows: DataFrame, key: str, order: str, vector: str, threshold: float = 0.5) -> DataFrame:
@@ -352,6 +365,22 @@ def boundary_groups(rows: DataFrame, key: str, order: str, vector: str, threshol
     return flagged.withColumn("group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
 
 
+def letter_vector(c: Column) -> Column:
+    """How often each of the letters a to z stands in a text: a plain vector for chunk_semantic where there is no model."""
+    return F.transform(F.array(*[F.lit(x) for x in "abcdefghijklmnopqrstuvwxyz"]), lambda x: (F.length(c) - F.length(F.replace(F.lower(c), x, F.lit("")))).cast("double"))
+
+
+def chunk_semantic_text(df: DataFrame, embed: Callable[[Column], Column] = letter_vector, threshold: float = 0.5, size: int = 512) -> DataFrame:
+    """Sentences of a text grouped by the likeness of neighbours; embed makes a vector column of the sentences' column."""
+    parts = df.where("content IS NOT NULL").select("doc_id", F.posexplode(F.regexp_extract_all("content", F.lit(T.SENTENCE), F.lit(0))).alias("place", "content"))
+    chunks = chunk_semantic(parts.withColumn("embedding", embed(F.col("content"))), threshold, size)
+    order = Window.partitionBy("doc_id").orderBy("group", "part")
+    placed = chunks.withColumn("chunk_index", F.row_number().over(order) - 1)
+    # Chunks are consecutive stretches, so a chunk starts where the ones before it end.
+    before = F.coalesce(F.sum(F.length("content")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    return placed.select("doc_id", "chunk_index", "content", before.alias("start"), (before + F.length("content")).cast("int").alias("end"), "token_count")
+
+
 def chunk_semantic(sentences: DataFrame, threshold: float = 0.5, size: int = 512) -> DataFrame:
     """sentences(doc_id, place, content, embedding): likely neighbours grouped; groups over size tokens are packed by sentences."""
     _check(size)
@@ -399,21 +428,38 @@ def chunk_stats(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     return chunks.groupBy(key).agg(F.count("*").alias("total_chunks"), F.expr("coalesce(sum(length(content)), 0) div count(*)").alias("avg_chunk_chars"))
 
 
-def locate_offsets(df: DataFrame, overlap: int = 0) -> DataFrame:
+def locate_offsets(df: DataFrame, overlap: int | None = 0) -> DataFrame:
     """df(doc_id, content, splits): (doc_id, chunk_index, content, start, end) found one after another.
 
-    A search begins overlap characters before the last end; a split that isn't found starts there.
+    A search begins overlap characters before the last end; a split that isn't found starts there. overlap None takes the overlap of
+    a document's first two splits. Null contents and null splits give no rows. A document takes time in proportion to its text and splits.
     """
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(CHUNK).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        found = F.transform(F.array(_locate(x, acc["at"])), lambda p: F.when(p > 0, p - 1).otherwise(acc["at"]))
-        return F.get(F.transform(found, lambda s: F.struct(F.greatest(F.lit(0), s + F.length(x) - overlap).alias("at"), F.array_append(acc["out"], F.struct(x.alias("content"), s.alias("start"))).alias("out"))), F.lit(0))
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for doc, content, splits in zip(b.column("doc_id"), b.column("content").to_pylist(), b.column("splits").to_pylist()):
+                if content is not None:
+                    own = [x for x in splits or [] if x is not None]
+                    for k, (x, start) in enumerate(zip(own, located(content, own, overlap))):
+                        yield doc, k, x, start, start + len(x)
+
+    return rows_by_task(df.select("doc_id", "content", "splits"), found, "chunk_index int, content string, start int, end int")
+
+
+#: Rows of one Arrow batch that a task hands on.
+BATCH_ROWS = 16_384
+
 
-    return _exploded(df.where("content IS NOT NULL").withColumn("_chunks", F.aggregate("splits", state, step, lambda acc: acc["out"]))).drop("token_count")
+def rows_by_task(df: DataFrame, made: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], columns: str) -> DataFrame:
+    """doc_id and the given columns from tuples that made yields of a task's batches, whose first value is a cell of doc_id."""
+    schema = StructType([df.schema["doc_id"], *_parse_datatype_string(columns).fields])
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = made(batches)
+        while held := list(islice(rows, BATCH_ROWS)):
+            first, *rest = zip(*held)
+            cells = [pa.array([x.as_py() for x in first], types[0]), *(pa.array(c, t) for c, t in zip(rest, types[1:]))]
+            yield pa.RecordBatch.from_arrays(cells, names=schema.names)
 
-def _locate(x: Column, at: Column) -> Column:
-    """Place from 1 of x in the column content at or after offset at; 0 if none."""
-    found = F.call_function("locate", x, F.col("content"), at + 1)
-    return F.when(x == "", at + 1).otherwise(found)
+    return df.mapInArrow(run, schema)

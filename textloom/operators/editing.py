@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import text as T
+from textloom.functions.places import merged
 
 TAIL = 300
 ENRICHMENT = ("cleaned_chunk", "title", "context", "summary")
@@ -30,13 +31,12 @@ def delete_chunks(chunks: DataFrame, victims: DataFrame) -> DataFrame:
 
 
 def merged_text(contents: Column) -> Column:
-    """Texts appended in turn: an overlap with the last TAIL characters is left out, else a blank line goes between."""
+    """Texts appended in turn: an overlap with the last TAIL characters is left out, else a blank line goes between. Linear in the texts."""
+    return F.arrow_udf(_merged, "string")(contents)
 
-    def step(acc: Column, x: Column) -> Column:
-        n = F.transform(F.array(T.suffix_prefix_overlap(acc, x, TAIL)), lambda k: F.when(k > 0, F.concat(acc, F.substring(x, k + 1, F.length(x)))).otherwise(F.concat(acc, F.lit("\n\n"), x)))
-        return F.get(n, F.lit(0))
 
-    return F.aggregate(F.slice(contents, F.lit(2), F.greatest(F.size(contents) - 1, F.lit(0))), F.get(contents, F.lit(0)), step)
+def _merged(contents: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else merged(x, TAIL) for x in contents.to_pylist()], pa.string())
 
 
 def merge_chunks(chunks: DataFrame, selection: DataFrame | Column) -> DataFrame:
@@ -56,7 +56,7 @@ def merge_chunks(chunks: DataFrame, selection: DataFrame | Column) -> DataFrame:
     merges = F.size("_parts") > 1
     made = docs.select(
         "doc_id", "_rows", merges.alias("_merges"), F.get("_parts", F.lit(0))["chunk_index"].alias("_first"), F.get("_parts", F.size("_parts") - 1)["end"].alias("_end"),
-        F.when(merges, merged_text(F.transform("_parts", lambda p: p["content"]))).alias("_text"),
+        merged_text(F.when(merges, F.transform("_parts", lambda p: p["content"]))).alias("_text"),
     )
     first = F.col("_merges") & (F.col("chunk_index") == F.col("_first"))
     merged = F.struct("_end", "_text")

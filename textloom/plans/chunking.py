@@ -250,6 +250,24 @@ def f2_locate_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.locate_offsets(docs.join(splits, "doc_id")).select(*COLUMNS)
 
 
+@query(f"""with recursive c as ({token_windows_sql(X.DOCS_SQL, 128, 16)}),
+w as (select doc_id, chunk_index, case when chunk_index % 5 = 3 then concat(content, chr(7), '?') else content end as x from c),
+o as (select a.doc_id, coalesce(list_max(list_filter(range(1, least(length(a.x), length(b.x)) + 1), lambda k: right(a.x, k) = left(b.x, k))), 0) as overlap
+      from w a left join w b on b.doc_id = a.doc_id and b.chunk_index = 1 where a.chunk_index = 0),
+s as (select w.*, content as t, overlap from w join ({X.DOCS_SQL}) d using (doc_id) join o using (doc_id)),
+r as (select doc_id, 0 as k, x as content, greatest(instr(t, x) - 1, 0) as start, overlap, t from s where chunk_index = 0
+      union all
+      select r.doc_id, k + 1, s.x, case when instr(substr(r.t, f + 1), s.x) > 0 then instr(substr(r.t, f + 1), s.x) - 1 + f else f end, r.overlap, r.t
+      from (select *, greatest(0, start + length(content) - overlap) as f from r) r join s on s.doc_id = r.doc_id and s.chunk_index = r.k + 1)
+select doc_id, cast(k as int) as chunk_index, content, cast(start as int) as start, cast(start + length(content) as int) as end from r""")
+def f2_located_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets of overlapping windows from their texts alone, one in five of which the document doesn't hold; the overlap is measured."""
+    docs = X.docs(spark, sf_dir)
+    chunks = K.chunk_token(docs, 128, 16).withColumn("content", F.when(F.col("chunk_index") % 5 == 3, F.concat("content", F.lit("\u0007?"))).otherwise(F.col("content")))
+    splits = chunks.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]).alias("splits"))
+    return K.locate_offsets(docs.join(splits, "doc_id"), None)
+
+
 @query(f"""with c as ({token_windows_sql(X.DOCS_SQL, 128, 16)}), n as (select doc_id, chunk_index, content as a, lead(content) over (partition by doc_id order by chunk_index) as b from c)
 select doc_id, chunk_index, coalesce(list_max(list_filter(range(1, least(300, length(a), length(b)) + 1), lambda k: right(a, k) = left(b, k))), 0) as n from n where b is not null""")
 def f1_suffix_prefix_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

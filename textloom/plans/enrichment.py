@@ -17,6 +17,7 @@ from textloom.plans.chunking import SECTIONS_SQL, token_windows_sql
 from textloom.plans.registry import query, table
 from textloom.sources import storage as S
 from textloom.streaming import jobs as G
+from textloom.streaming.silences import stream_silences
 
 _STRIPPED = f"""raw as ({X.RAW_LLM_SQL}),
 st as (select doc_id, original, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw_response, '^\\s+|\\s+$', '', 'g'), '^```(?i:json)?\\s*', ''), '\\s*```$', ''), '^\\s+|\\s+$', '', 'g') as r from raw)"""
@@ -267,6 +268,45 @@ def c17_chunk_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.chunk_corpus(X.docs(spark, sf_dir), "token", 100, 5000, size=128, overlap=16)[1]
 
 
+@P.register_splitter("lines_by_limit", "Lines", "Runs of lines, as many as asked for; texts of some lengths are refused")
+def _lines_by_limit(text: str, lines: str = "1", refuse: int = 7) -> list[str]:
+    if len(text) % refuse == 0:
+        raise ValueError(f"{len(text)} characters")
+    own = text.splitlines(keepends=True) if set(text).isdisjoint("\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029") else [x + "\n" for x in text.split("\n")[:-1]] + [text.split("\n")[-1]]
+    return ["".join(own[i : i + int(lines)]) for i in range(0, len(own), int(lines))]
+
+
+@query("""with d as (select doc_id, text as t, coalesce(length(text), 0) as n, 1 + doc_id % 3 as lines from documents),
+e as (select *, case when n < 100 then 'content is too short' when n > 5000 then 'content is too long' when n % 7 = 0 then concat('ValueError: ', n, ' characters') end as error from d),
+l as (select doc_id, lines, string_split(t, chr(10)) as ls, length(t) as n from e where error is null),
+x as (select doc_id, lines, case when i < len(ls) then concat(ls[i], chr(10)) else ls[i] end as line, i from (select *, unnest(range(1, len(ls) + 1)) as i from l)),
+c as (select doc_id, cast((i - 1) // lines as int) as chunk_index, string_agg(line, '' order by i) as content from x where line <> '' group by all),
+k as (select *, cast(coalesce(sum(length(content)) over (partition by doc_id order by chunk_index rows between unbounded preceding and 1 preceding), 0) as int) as start, cast(count(*) over (partition by doc_id) as int) as total_chunks from c)
+select e.doc_id, chunk_index, content, start, cast(start + length(content) as int) as end, cast(len(regexp_extract_all(content, '\\S+')) as int) as token_count, coalesce(total_chunks, 0) as total_chunks, error
+from e left join k on k.doc_id = e.doc_id""".replace("\\\\", "\\"))
+def c17_failing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A splitter that refuses some documents, with an option by document: chunks, errors and counts from its one run."""
+    docs = X.docs(spark, sf_dir).withColumn("options", F.create_map(F.lit("lines"), (1 + F.col("doc_id") % 3).cast("string")))
+    return P.chunk_results(docs, "lines_by_limit", 100, 5000, options="options")
+
+
+def _letters_sql(c: str) -> str:
+    return "[" + ", ".join(f"cast(length({c}) - length(replace(lower({c}), '{x}', '')) as double)" for x in "abcdefghijklmnopqrstuvwxyz") + "]"
+
+
+@query(f"""with s as (select doc_id, unnest(regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]+\\s*|[^.!?\\n]+$')) as x, generate_subscripts(regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]+\\s*|[^.!?\\n]+$'), 1) as i from documents),
+v as (select *, {_letters_sql("x")} as e from s), p as (select *, lag(e) over (partition by doc_id order by i) as b from v),
+g as (select *, coalesce(list_dot_product(b, e) / nullif(sqrt(list_dot_product(b, b) * list_dot_product(e, e)), 0), 0.0) as likeness from p),
+n as (select *, sum(case when b is not null and likeness < 0.6 then 1 else 0 end) over (partition by doc_id order by i rows unbounded preceding) as grp from g),
+c as (select doc_id, grp, string_agg(x, '' order by i) as content from n group by all)
+select doc_id, cast(row_number() over w - 1 as int) as chunk_index, content, cast(coalesce(sum(length(content)) over (w rows between unbounded preceding and 1 preceding), 0) as int) as start
+from c window w as (partition by doc_id order by grp)""")
+def c11_chunk_semantic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of whole texts, grouped by the likeness of their letters, by the registered strategy."""
+    rows = P.chunks_of(P.chunk_results(X.docs(spark, sf_dir), "semantic", threshold=0.6, size=1_000_000))
+    return rows.select("doc_id", "chunk_index", "content", "start")
+
+
 def _halves(text: str) -> list[str]:
     return [text[: len(text) // 2], text[len(text) // 2 :]]
 
@@ -300,6 +340,17 @@ def g3_stream_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink)
 
 
+@query("""with t as (select user_id, epoch_us(cast(ts as timestamp)) as t from events where user_id is not null and ts is not null),
+g as (select *, case when t - lag(t) over w > 3600000000 then 1 else 0 end as new from t window w as (partition by user_id order by t)),
+s as (select *, sum(new) over (partition by user_id order by t rows unbounded preceding) as k from g)
+select user_id, min(t) as from_us, max(t) + 3600000000 as stalled_us, count(*) as n_events from s group by user_id, k""")
+def g3_stream_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session of every user, the last ones by timers."""
+    sink, checkpoint = G.new_folder(spark, "stream-silences"), G.new_folder(spark, "stream-state")
+    stream_silences(G.stream_table(spark, sf_dir, "events"), "user_id", "ts", 3600.0, sink, checkpoint, late_s=1e9, idle_s=2.0)
+    return spark.read.parquet(sink).select("user_id", F.unix_micros("from_ts").alias("from_us"), F.unix_micros("stalled_at").alias("stalled_us"), "n_events")
+
+
 @query("select source as stem, case when doc_id % 3 = 0 then 'r2' else 'r1' end as run_ts, doc_id from documents qualify run_ts = max(run_ts) over (partition by source)")
 def g4_latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink, checkpoint = G.new_folder(spark, "stream-versions"), G.new_folder(spark, "stream-state")

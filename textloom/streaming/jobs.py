@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import catalog as C
-from textloom.plugins import chunk_corpus
+from textloom.plugins import chunk_results, chunks_of
 from textloom.sources.storage import shared_folder
 
 
@@ -26,7 +26,7 @@ def stream_chunks(docs: DataFrame, strategy: str, sink: str, checkpoint: str, **
     """Chunk what has newly arrived and append it to sink; each batch writes a folder of its own, so a repeated one replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        chunk_corpus(batch, strategy, **parameters)[0].write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        chunks_of(chunk_results(batch, strategy, **parameters)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
