@@ -20,6 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm import textscan as ts
 
@@ -202,11 +203,10 @@ def find_pii(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
 
 def _scan(docs: DataFrame, text: str, keep: tuple[str, ...], want: tuple[str, ...]) -> DataFrame:
-    source = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("text"))
-    kinds = [f.dataType.simpleString() for f in source.schema.fields[:-1]]
+    source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("text"))
     types = {"base": "string", "spans": "string", "redacted": "string", "found": "array<struct<kind:string,start:int,end:int>>"}
     arrow = {"string": pa.string(), "long": pa.int64(), types["found"]: pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))}
-    schema = ", ".join([*(f"k{i} {t}" for i, t in enumerate(kinds)), *(f"{w} {types.get(w, 'long')}" for w in want)])
+    schema = T.StructType([*source.schema.fields[:-1], *T._parse_datatype_string(", ".join(f"{w} {types.get(w, 'long')}" for w in want)).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = anchors()

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm import textscan as ts
 
@@ -126,9 +127,8 @@ def bits(rules: tuple[Rule, ...] = RULES) -> Column:
 
 def rule_ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per document: the keep columns, all measurements (long) and ``failed_bits`` (long). One scan, no shuffle."""
-    source = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("text"))
-    kinds = [f.dataType.simpleString() for f in source.schema.fields[:-1]]
-    schema = ", ".join([*(f"k{i} {t}" for i, t in enumerate(kinds)), *(f"{m} long" for m in MEASURES)])
+    source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("text"))
+    schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in ts.slices(batches, "text"):
