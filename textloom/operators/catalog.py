@@ -13,15 +13,19 @@ def upload_summary(files: DataFrame, ok: Column) -> DataFrame:
     return files.agg(F.count_if(F.coalesce(ok, F.lit(False))).alias("uploaded"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("failed"))
 
 
-def validated_files(files: DataFrame, max_mb: int = 100) -> DataFrame:
-    """files (path, length, content) with ``reason``: null if accepted, else why not. max_mb 0 is no limit."""
+def validated_files(files: DataFrame, max_mb: float = 100) -> DataFrame:
+    """files (path, length, and head, their first bytes, or content) with ``reason``: null if accepted, else why not. max_mb 0 is no limit.
+
+    scan_heads gives files with heads, so that no whole file is read.
+    """
+    first = "head" if "head" in files.columns else "content"
     name = F.substring_index("path", "/", -1)
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
     too_large = F.lit(False) if max_mb == 0 else F.col("length") > max_mb * 1024 * 1024
     reason = (
         F.when(~suffix.isin(".pdf", ".md"), F.lit("unsupported type"))
         .when(too_large, F.lit("too large"))
-        .when((suffix == ".pdf") & (F.substring("content", 1, 5) != F.lit(b"%PDF-")), F.lit("not a PDF"))
+        .when((suffix == ".pdf") & (F.substring(first, 1, 5) != F.lit(b"%PDF-")), F.lit("not a PDF"))
     )
     return files.withColumn("reason", reason)
 

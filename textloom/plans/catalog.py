@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import catalog as C
 from textloom.plans.registry import query, table
-from textloom.sources.storage import shared_folder
+from textloom.sources.heads import scan_heads, write_files
+from textloom.sources.storage import scan_markdown, shared_folder
 
 
 @query("select count(*) filter (n_chars <= 2000) as uploaded, count(*) filter (not n_chars <= 2000) as failed from documents")
@@ -16,6 +19,37 @@ def s4_upload_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.upload_summary(table(spark, sf_dir, "documents"), F.col("n_chars") <= 2000)
 
 
+def _uploads(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file of each document: PDFs with and without their mark, also with an upper-case suffix, Markdown, others."""
+    folder = f"{shared_folder(spark)}/uploads-{uuid.uuid4().hex}"
+    kind, text = F.col("doc_id") % 5, F.coalesce("text", F.lit(""))
+    suffix = F.get(F.lit([".pdf", ".pdf", ".PDF", ".md", ".txt"]), kind.cast("int"))
+    body = F.encode(F.when(kind.isin(0, 2), F.concat(F.lit("%PDF-"), text)).otherwise(text), "utf-8")
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), suffix).alias("name"), body.alias("body"))
+    write_files(files.where("doc_id % 2 = 1"), folder)
+    write_files(files.where("doc_id % 2 = 0"), f"{folder}/even")
+    return folder
+
+
+@query("""with f as (select concat('d', doc_id, ['.pdf', '.pdf', '.PDF', '.md', '.txt'][1 + doc_id % 5]) as name, case when doc_id % 5 in (0, 2) then 5 else 0 end + strlen(coalesce(text, '')) as length, doc_id % 5 as kind, text from documents)
+select name, cast(length as bigint) as length, case when kind = 4 then 'unsupported type' when length > 2097.152 then 'too large' when kind = 1 and not starts_with(coalesce(text, ''), '%PDF-') then 'not a PDF' end as reason from f""")
+def s3_validate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written from the documents, judged by their sizes and first five bytes."""
+    return C.validated_files(scan_heads(spark, _uploads(spark, sf_dir), head=5), 0.002).select("name", "length", "reason")
+
+
+@query("select concat('d', doc_id, '.md') as name, concat('d', doc_id) as stem, coalesce(text, '') as content from documents where doc_id % 5 = 3")
+def s1_scan_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_markdown(spark, _uploads(spark, sf_dir))
+
+
+@query("""select concat('d', doc_id, ['.pdf', '.pdf', '.PDF', '.md'][1 + doc_id % 5]) as name, cast(case when doc_id % 5 in (0, 2) then 5 else 0 end + strlen(coalesce(text, '')) as bigint) as length
+from documents where doc_id % 5 <> 4""")
+def s2_scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing of PDF and Markdown files alone; no byte of them is asked for."""
+    return scan_heads(spark, _uploads(spark, sf_dir), head=0, suffixes=(".pdf", ".md")).select("name", "length")
+
+
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1")
 def s5_latest_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.latest_by(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
