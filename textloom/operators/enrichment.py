@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -84,32 +85,55 @@ class Transient(Exception):
     """An error worth another attempt: time-out, lost connection, server error, too many requests."""
 
 
+def status_of(error: BaseException) -> int | None:
+    """The HTTP status that an error carries by itself or in its response, under the names that clients use."""
+    for holder in (error, getattr(error, "response", None)):
+        for name in ("status_code", "status", "code"):
+            value = getattr(holder, name, None)
+            if isinstance(value, int):
+                return value
+    return None
+
+
+def worth_retrying(error: BaseException) -> bool:
+    """Time-outs, lost connections, statuses of 500 and above, and 429; any other status or error is final."""
+    if isinstance(error, (Transient, TimeoutError, ConnectionError)):
+        return True
+    status = status_of(error)
+    return status is not None and (status >= 500 or status == 429)
+
+
 def with_retries(fn: Callable[[str], str], value: str, attempts: int = 3, base_delay: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> str:
     for k in range(attempts):
         try:
             return fn(value)
-        except (Transient, TimeoutError, ConnectionError):
-            if k + 1 == attempts:
+        except Exception as e:
+            if k + 1 == attempts or not worth_retrying(e):
                 raise
             sleep(base_delay * 2**k)
     raise ValueError("attempts must be positive")
 
 
-def enrich_chunks(chunks: DataFrame, make_fn: Callable[[], Callable[[str], str]], attempts: int = 3, base_delay: float = 1.0) -> DataFrame:
-    """doc_id, chunk_index, the six fields, status, error: make_fn runs once per partition, its function once per chunk."""
+def enrich_chunks(chunks: DataFrame, make_fn: Callable[[], Callable[[str], str]], attempts: int = 3, base_delay: float = 1.0, calls: int = 1) -> DataFrame:
+    """doc_id, chunk_index, the six fields, status, error: make_fn runs once per partition, its function once per chunk.
+
+    A task has at most so many calls in flight; results stand in the order of its chunks. What worth_retrying names is tried again
+    after base_delay, twice that, and so on, no wait after the last attempt; an error is a row and holds nothing else up.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = make_fn()
-        for b in batches:
-            raw, errors = [], []
-            for value in b["content"]:
-                try:
-                    raw.append(with_retries(fn, value, attempts, base_delay))
-                    errors.append(None)
-                except Exception as e:
-                    raw.append(None)
-                    errors.append(f"{type(e).__name__}: {str(e)[:200]}")
-            yield pd.DataFrame({"doc_id": b["doc_id"], "chunk_index": b["chunk_index"], "original": b["content"], "raw_response": raw, "error": errors})
+
+        def ask(value: str) -> tuple[str | None, str | None]:
+            try:
+                return with_retries(fn, value, attempts, base_delay), None
+            except Exception as e:
+                return None, f"{type(e).__name__}: {str(e)[:200]}"
+
+        with ThreadPoolExecutor(calls) as pool:
+            for b in batches:
+                raw, errors = zip(*pool.map(ask, b["content"])) if len(b) else ((), ())
+                yield pd.DataFrame({"doc_id": b["doc_id"], "chunk_index": b["chunk_index"], "original": b["content"], "raw_response": list(raw), "error": list(errors)})
 
     key = chunks.schema["doc_id"].dataType.simpleString()
     asked = chunks.select("doc_id", "chunk_index", "content").mapInPandas(run, f"doc_id {key}, chunk_index int, original string, raw_response string, error string")

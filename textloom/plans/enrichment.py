@@ -250,7 +250,18 @@ def s6_save_chunk_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir).withColumn("stem", F.col("doc_id").cast("string"))
     S.save_chunk_set(chunks.where("chunk_index = 0"), path, "2023-01-01_00-00-00-000000", "token")
     S.save_chunk_set(chunks, path, "2024-01-01_00-00-00-000000", "token")
-    return C.latest_versions(S.load_chunk_sets(spark, path)).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.left("run_ts", F.lit(4)).cast("int")).alias("year"))
+    return S.load_latest_chunk_set(spark, path).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.left("run_ts", F.lit(4)).cast("int")).alias("year"))
+
+
+@query(f"""with {_CHUNKS_SQL} select doc_id::varchar as stem, chunk_index, case when doc_id % 3 = 0 then concat(content, '!') else content end as content, case when doc_id % 3 = 0 then 'r3' else 'r2' end as run_ts from c""")
+def s7_newest_chunk_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions, the first of which is nobody's newest; its folder isn't read."""
+    path = G.new_folder(spark, "chunk-sets")
+    chunks = _chunks(spark, sf_dir).withColumn("stem", F.col("doc_id").cast("string"))
+    S.save_chunk_set(chunks.where("chunk_index = 0"), path, "r1", "token")
+    S.save_chunk_set(chunks, path, "r2", "token")
+    S.save_chunk_set(chunks.where("doc_id % 3 = 0").withColumn("content", F.concat("content", F.lit("!"))), path, "r3", "token")
+    return S.load_latest_chunk_set(spark, path).select("stem", "chunk_index", "content", "run_ts")
 
 
 @query(f"""with {_CHUNKS_SQL} select doc_id::varchar as stem, count(*) as total_chunks, string_agg(content, '|' order by chunk_index) as contents from c group by 1""")
@@ -356,4 +367,4 @@ def g4_latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink, checkpoint = G.new_folder(spark, "stream-versions"), G.new_folder(spark, "stream-state")
     versions = G.stream_table(spark, sf_dir, "documents").select(F.col("source").alias("stem"), F.when(F.col("doc_id") % 3 == 0, "r2").otherwise("r1").alias("run_ts"), "doc_id")
     G.latest_upsert(versions, sink, checkpoint)
-    return C.latest_versions(spark.read.parquet(sink)).select("stem", "run_ts", "doc_id")
+    return S.load_upserts(spark, sink).select("stem", "run_ts", "doc_id")

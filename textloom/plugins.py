@@ -13,6 +13,7 @@ from textloom.functions import text as T
 from textloom.functions.places import located
 from textloom.operators import catalog as C
 from textloom.operators import chunking as K
+from textloom.operators import enrichment as N
 
 
 @dataclass(frozen=True)
@@ -144,6 +145,14 @@ def chunk_corpus(df: DataFrame, strategy: str, least: int = 1, most: int = 10_00
     return chunks_of(results), outcomes_of(results)
 
 
+def convert_with(docs: DataFrame, converter: str, source: str = "content") -> DataFrame:
+    """convert_corpus by a registered converter's name."""
+    entry = REGISTRY.get(("converter", converter))
+    if entry is None:
+        raise ValueError(f"unknown converter {converter}")
+    return N.convert_corpus(docs, entry.run, source)
+
+
 def split_with(df: DataFrame, splitter: Callable[[str], list[str]], overlap: int | None = 0) -> DataFrame:
     """Chunks of a user's splitter, with offsets found again; overlap as in locate_offsets."""
 

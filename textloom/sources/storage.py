@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import answers as A
 from textloom.functions import text as T
+from textloom.operators import catalog as C
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,15 +35,75 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_chunk_set(chunks: DataFrame, path: str, run_ts: str, strategy: str, form: str = "parquet") -> None:
-    """Append one version of each document's chunks; chunks has a column stem. Rows of a stem go to few files."""
+    """Append one version of each document's chunks; chunks has a column stem. Rows of a stem go to few files.
+
+    The manifest below ``path/_versions`` gets a row for each stem, read back from what was written, so chunks is computed once.
+    """
     rows = chunks.withColumn("run_ts", F.lit(run_ts)).withColumn("strategy", F.lit(strategy))
     rows.repartition("stem").write.mode("append").format(form).partitionBy("run_ts").save(path)
+    written = load_chunk_sets(chunks.sparkSession, path, form).where(F.col("run_ts") == run_ts)
+    written.select("stem").distinct().withColumn("run_ts", F.lit(run_ts)).write.mode("append").parquet(f"{path}/{VERSIONS}")
 
 
 def load_chunk_sets(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
     return spark.read.format(form).load(path).withColumn("run_ts", F.col("run_ts").cast("string"))
 
 
+#: The folder of the manifest; names with an underscore are no data to Spark's readers.
+VERSIONS = "_versions"
+#: Versions that may be named in a filter of folders; with more of them only the join below tells.
+NAMED_VERSIONS = 1_000
+
+
+def load_latest_chunk_set(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """The newest version of each document's chunks. The manifest tells which folders hold any, and only these are read."""
+    newest = spark.read.parquet(f"{path}/{VERSIONS}").groupBy("stem").agg(F.max("run_ts").alias("run_ts"))
+    runs = [r[0] for r in newest.select("run_ts").distinct().limit(NAMED_VERSIONS + 1).collect()]
+    rows = load_chunk_sets(spark, path, form)
+    if len(runs) <= NAMED_VERSIONS:
+        rows = rows.where(F.col("run_ts").isin(runs))
+    return rows.join(newest, ["stem", "run_ts"], "left_semi")
+
+
+def _numbered(path: str, kind: str) -> dict[int, str]:
+    """The finished folders ``kind=number`` of a path, by number."""
+    store, root = fs.FileSystem.from_uri(path)
+    found = [x for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.base_name.startswith(f"{kind}=")]
+    done = store.get_file_info([f"{x.path}/_SUCCESS" for x in found])
+    return {int(x.base_name.split("=")[1]): f"{path}/{x.base_name}" for x, d in zip(found, done) if d.type == fs.FileType.File}
+
+
+def write_upsert(batch: DataFrame, path: str, number: int, every: int = 16) -> None:
+    """A batch of versions(stem, run_ts, ...) as a folder of its own; every so many, all that came before become one base.
+
+    A repeated batch replaces itself, or is left out where a base has it already. Files below a base go once it is finished, so at
+    most one base and ``every`` batches stay.
+    """
+    spark = batch.sparkSession
+    if max(_numbered(path, "base"), default=-1) < number:
+        C.latest_versions(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if (number + 1) % every == 0:
+            C.latest_versions(_upserts(spark, path, number)).write.mode("overwrite").parquet(f"{path}/base={number}")
+    base = max(_numbered(path, "base"), default=-1)
+    store, root = fs.FileSystem.from_uri(path)
+    for x in store.get_file_info(fs.FileSelector(root)):
+        kind, _, n = x.base_name.partition("=")
+        if (kind == "batch" and int(n) <= base) or (kind == "base" and int(n) < base):
+            store.delete_dir(x.path)
+
+
+def _upserts(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    bases, batches = _numbered(path, "base"), _numbered(path, "batch")
+    base = max(bases, default=-1)
+    parts = [p for n, p in sorted(batches.items()) if n > base and (upto is None or n <= upto)]
+    return spark.read.parquet(*([bases[base]] if bases else []), *parts)
+
+
+def load_upserts(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of each stem among the base and the batches after it."""
+    return C.latest_versions(_upserts(spark, path))
+
+
 LEGACY = {"content": "Chunk", "cleaned_chunk": "CleanedChunk", "title": "Title", "context": "Context", "summary": "Summary", "keywords": "Keywords", "questions": "Questions"}
 
 

@@ -7,9 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import catalog as C
 from textloom.plugins import chunk_results, chunks_of
-from textloom.sources.storage import shared_folder
+from textloom.sources.storage import shared_folder, write_upsert
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -45,10 +44,10 @@ def stream_stalls(events: DataFrame, key: str, ts: str, timeout: str, sink: str,
     flat.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def latest_upsert(versions: DataFrame, sink: str, checkpoint: str) -> None:
-    """Append versions(stem, run_ts, ...) per batch; readers take C.latest_versions of the folder. A repeated batch replaces itself."""
+def latest_upsert(versions: DataFrame, sink: str, checkpoint: str, every: int = 16) -> None:
+    """Append versions(stem, run_ts, ...) per batch, and join them to one base every so many batches; load_upserts reads the newest ones.
 
-    def write(batch: DataFrame, number: int) -> None:
-        C.latest_versions(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
-
-    versions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    A repeated batch replaces itself.
+    """
+    writing = versions.writeStream.foreachBatch(lambda batch, number: write_upsert(batch, sink, number, every))
+    writing.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
