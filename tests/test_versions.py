@@ -141,3 +141,10 @@ def test_converters_by_name(spark):
             plugins.convert_with(docs, "none")
     finally:
         plugins.REGISTRY.pop(("converter", "upper_test"))
+
+
+def test_listing_is_in_order_of_name(spark):
+    pdfs = spark.createDataFrame([(f"{n}.pdf", n) for n in ("b", "a", "Z")], "name string, stem string")
+    mds = spark.createDataFrame([(f"{n}.md", n) for n in ("b", "c", "B", "_")], "name string, stem string")
+    assert [r[0] for r in C.list_documents(pdfs, mds).collect()] == ["B.md", "Z.pdf", "_.md", "a.pdf", "b.pdf", "c.md"]
+    assert C.list_documents(pdfs.limit(0), mds.limit(0)).collect() == []

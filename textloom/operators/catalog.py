@@ -51,8 +51,8 @@ def catalog_metadata(pdfs: DataFrame, mds: DataFrame, key: str = "stem") -> Data
 
 
 def list_documents(pdfs: DataFrame, mds: DataFrame, name: str = "name", key: str = "stem") -> DataFrame:
-    """All PDFs, and Markdown files whose stem has no PDF."""
-    return pdfs.select(name).unionByName(mds.join(pdfs.select(key), key, "left_anti").select(name))
+    """All PDFs, and Markdown files whose stem has no PDF, in order of name; the sort is by ranges, so no task sees all."""
+    return pdfs.select(name).unionByName(mds.join(pdfs.select(key), key, "left_anti").select(name)).orderBy(name)
 
 
 def get_documents(wanted: DataFrame, pdfs: DataFrame, mds: DataFrame, key: str = "stem") -> DataFrame:

@@ -202,6 +202,13 @@ def t3_metadata_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return globally_numbered(rows, "place", F.col("has_pdf").desc(), F.col("name").asc()).select("place", "name")
 
 
+@query(_CATALOG_SQL + """, u as (select name from p union all select name from m where stem not in (select stem from p))
+select cast(row_number() over (order by name) as bigint) as place, name from u""")
+def t1_listing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing with each file's place by name."""
+    return globally_numbered(C.list_documents(*_catalog(spark, sf_dir)), "place", F.col("name").asc()).select("place", "name")
+
+
 def globally_numbered(rows: DataFrame, place: str, *order) -> DataFrame:
     """Rows with their place in a global order, without one task seeing all: ranges are sorted, counted and shifted.
 
