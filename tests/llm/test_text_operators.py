@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -99,6 +100,36 @@ def test_pii_query_and_redaction(spark):
     assert len(spans["account"]) == 2 and len(spans["handle"]) == 1 and len(spans["url"]) == 1
 
 
+def test_long_names_and_values_are_redacted_whole(spark):
+    automaton, name, value = pii.anchors(), "n" * 40, "a1b2c3d4" * 50
+    texts = {1: f"ask @{name} now", 2: f"secret: {value} end", 3: f'Mot de passe = "{value}"', 4: "Passwort: a1b2c3d4", 5: "contraseña: a1b2c3d4", 6: "NÚMERO DE CUENTA: 12345678", 7: "the token was never given"}
+    wanted = {1: "ask [HANDLE] now", 2: "secret: [ACCOUNT] end", 3: 'Mot de passe = "[ACCOUNT]"', 4: "Passwort: [ACCOUNT]", 5: "contraseña: [ACCOUNT]", 6: "NÚMERO DE CUENTA: [ACCOUNT]", 7: texts[7]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in pii.redact_documents(docs).collect()} == wanted
+    for cue in pii.CUES:
+        for form in (cue, cue.upper(), cue.title(), cue.capitalize()):
+            assert pii.spans_of(f"x {form}: zz9zzz", automaton)["account"] == [(len(form) + 4, len(form) + 10)], form
+
+
+def test_account_values_equal_plain_search_and_take_linear_time():
+    rng, automaton = random.Random(12), pii.anchors()
+    cue = re.compile("(?<![^\\W_])(?:token|secret)(?![^\\W_])")
+    for _ in range(5_000):
+        text = "".join(rng.choice(["token", "secret", "=", " ", ": ", "ab", "7", "12345", "/", "!"]) for _ in range(rng.randrange(14)))
+        wanted, free = [], 0
+        for m in cue.finditer(text):
+            gap = re.compile("[ \\t]*[:=#]?[ \\t]*[\"']?").match(text, m.end())
+            value = re.compile("[A-Za-z0-9_./+=-]+").match(text, gap.end())
+            if m.start() >= free and 0 < gap.end() - m.end() <= pii.MAX_GAP and value and len(value[0]) >= 6 and re.search("[0-9]", value[0]):
+                wanted.append(value.span())
+                free = value.end()
+        assert pii.spans_of(text, automaton)["account"] == wanted, text
+    began = time.perf_counter()
+    assert not pii.spans_of("token=" * 200_000, automaton)["account"]
+    assert len(pii.spans_of("token=" * 200_000 + "x12345", automaton)["account"]) == 1
+    assert time.perf_counter() - began < 10
+
+
 def brute_components(rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []

@@ -5,10 +5,11 @@ words. Small deterministic parsers then grow each anchor to the left and right a
 
 Base kinds, leftmost and non-overlapping within a kind: ``email``, ``ip``, ``card``, ``phone``. Kinds that the method adds:
 ``url`` (scheme and authority, where it carries user information or an address), ``handle`` (an at-sign name that is no
-email) and ``account`` (an identifier cue followed by a value with a digit). Kinds may overlap one another.
+email, at least two characters) and ``account`` (an identifier cue in one of the four languages of the corpus, followed by a value of at least
+LEAST_VALUE characters with a digit). Names and values have no upper length and are taken whole. Kinds may overlap one another.
 
-Null and empty texts have no spans. Texts are scanned whole; time and memory grow with the length of one text. Repeated
-rows are scanned one by one and an empty table gives an empty result. Only the named columns are read.
+Null and empty texts have no spans. Texts are scanned whole; time and memory grow with the length of one text. Null and shared ids are kept as
+they are; repeated rows are scanned one by one and an empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -30,9 +31,14 @@ KINDS = (*BASE_KINDS, *ADDED_KINDS)
 Span = tuple[int, int]
 
 #: Identifier cues, lower case; a value follows after at most MAX_GAP separators.
-CUES = ("account", "iban", "passport", "password", "api_key", "apikey", "secret", "ssn", "token", "user id", "userid", "username")
+CUES = (
+    "account", "iban", "passport", "password", "api_key", "apikey", "secret", "ssn", "token", "user id", "userid", "username",
+    "passwort", "kennwort", "kontonummer", "benutzername", "benutzerkennung", "reisepass", "zugangscode",
+    "mot de passe", "numéro de compte", "numero de compte", "nom d'utilisateur", "identifiant", "passeport", "code secret",
+    "contraseña", "contrasena", "número de cuenta", "numero de cuenta", "nombre de usuario", "usuario", "pasaporte", "clave secreta",
+)
 MAX_GAP = 4
-VALUE_LENGTH = (6, 128)
+LEAST_VALUE = 6
 
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,9 +47,10 @@ _RUN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _PHONE_TAIL = re.compile(r"[ ().0-9-]+")
 _AUTHORITY = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=:@\[\]-]+")
-_HANDLE = re.compile(r"[A-Za-z0-9_]{2,30}")
+_HANDLE = re.compile(r"[A-Za-z0-9_]{2,}")
 _GAP = re.compile(r"[ \t]*[:=#]?[ \t]*[\"']?")
 _VALUE = re.compile(r"[A-Za-z0-9_./+=-]+")
+_LAST_DIGIT = re.compile(r".*[0-9]")
 
 AT, DOT, DIGIT, PLUS, SCHEME, CUE = range(6)
 
@@ -61,7 +68,7 @@ def anchors() -> ahocorasick.Automaton:
     for s in ("://",):
         automaton.add_word(s, (SCHEME, len(s)))
     for c in CUES:
-        for form in {c, c.title(), c.upper()}:
+        for form in {c, c.capitalize(), c.title(), c.upper()}:
             automaton.add_word(form, (CUE, len(form)))
     automaton.make_automaton()
     return automaton
@@ -131,6 +138,7 @@ def spans_of(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[Span
     """All spans of one text by kind, each list in order of start."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
     email_free = ip_free = card_free = phone_free = account_free = 0
+    value_end = value_digit = 0  # the run of value characters seen last: its end, and the place after its last digit
     ats: list[int] = []
     for last, (kind, size) in automaton.iter(text):
         at = last - size + 1
@@ -168,10 +176,15 @@ def spans_of(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[Span
                 out["url"].append((start, authority.end()))
         elif at >= account_free and not (at and text[at - 1].isalnum()) and not text[last + 1 : last + 2].isalnum():
             gap = _GAP.match(text, last + 1)
-            value = _VALUE.match(text, gap.end()) if 0 < gap.end() - last - 1 <= MAX_GAP else None
-            if value and VALUE_LENGTH[0] <= len(value.group()) <= VALUE_LENGTH[1] and any(c in _DIGITS for c in value.group()):
-                account_free = value.end()
-                out["account"].append(value.span())
+            start = gap.end()
+            if 0 < start - last - 1 <= MAX_GAP:
+                if start >= value_end and (value := _VALUE.match(text, start)):
+                    digits = _LAST_DIGIT.match(text, start, value.end())
+                    value_end, value_digit = value.end(), digits.end() if digits else start
+                # A cue inside a run without digits shares its end, so a run is read once.
+                if value_end - start >= LEAST_VALUE and value_digit > start:
+                    account_free = value_end
+                    out["account"].append((start, value_end))
     for at in ats:
         if not (at and (text[at - 1].isalnum() or text[at - 1] in "._-@")):
             name = _HANDLE.match(text, at + 1)
