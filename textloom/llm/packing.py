@@ -28,7 +28,7 @@ from textloom.llm.tokens import piece_tokenizer
 
 CAPACITY = 2048
 END_ID = (0).to_bytes(4, "little")
-GROUP_ITEMS = 20_000
+GROUP_ITEMS = 2_000
 FAN_IN = 16
 CARRY = 2_000
 NEARLY_FULL = 0.995
