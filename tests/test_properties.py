@@ -84,6 +84,35 @@ def test_recovery_kinds(spark):
     assert rows[0]["cleaned_chunk"] == 'a"b' and rows[0]["keywords"] == ["k"] and rows[4]["cleaned_chunk"] == "o"
 
 
+def test_recovery_as_json_is_read(spark):
+    """Two objects are no JSON, of equal keys the last counts, numbers keep their text, lists that are none are empty."""
+    cases = ['{"title": "a"} {"title": "b"}', '{"title": "a", "title": "b"}', '{"title": NaN, "summary": 12}', '{"title": -Infinity, "keywords": "k", "questions": [1, null]}', '{"title": "NaN"}', '{"title": "x"', "{}", '{"title": tru}']
+    rows = A.recovered(spark.createDataFrame([(i, "o", c) for i, c in enumerate(cases)], "i int, original string, raw_response string")).orderBy("i").collect()
+    assert [r["status"] for r in rows] == ["partial", "ok", "ok", "ok", "ok", "partial", "ok", "error"]
+    assert [r["title"] for r in rows] == ["a", "b", "NaN", "-Infinity", "NaN", "x", "", ""]
+    assert rows[2]["summary"] == "12" and rows[3]["keywords"] == [] and rows[3]["questions"] == ["1", None]
+
+
+def test_table_function(spark):
+    """Options by row, errors as rows, and no rows for null content."""
+
+    @plugins.register_splitter("by_mark")
+    def by_mark(text, mark=" ", most="9"):
+        if "!" in text:
+            raise ValueError(text)
+        return text.split(mark)[: int(most)]
+
+    rows = [(1, "a b b", None), (2, "a-b c", {"mark": "-"}), (3, "x!", {}), (4, None, None), (5, "", None), (6, "a b", {"most": "1"}), (7, "a", {"none": "1"})]
+    spark.createDataFrame(rows, "doc_id long, content string, own map<string,string>").createOrReplaceTempView("marked")
+    name = plugins.table_function(spark, "by_mark", "split_by_mark")
+    got = spark.sql(f"SELECT m.doc_id, s.* FROM marked m, LATERAL {name}(m.content, m.own) s ORDER BY doc_id, chunk_index").collect()
+    found = [tuple(r) for r in got if r["error"] is None]
+    assert found == [(1, 0, "a", 0, 1, None), (1, 1, "b", 2, 3, None), (1, 2, "b", 4, 5, None), (2, 0, "a", 0, 1, None), (2, 1, "b c", 2, 5, None), (6, 0, "a", 0, 1, None)]
+    assert [(r["doc_id"], r["chunk_index"], r["error"].split(":")[0]) for r in got if r["error"]] == [(3, None, "ValueError"), (7, None, "TypeError")]
+    with pytest.raises(ValueError):
+        plugins.table_function(spark, "nobody's")
+
+
 def test_retries():
     calls, waits = [], []
 

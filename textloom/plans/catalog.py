@@ -65,22 +65,38 @@ def s7_load_latest_chunk_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.latest_versions(runs).select("stem", "doc_id", "run_ts")
 
 
-@query("""
+_CASCADE_SQL = """
 with p as (select 'd' || doc_id as stem, doc_id from documents where doc_id % 2 = 0), m as (select 'd' || doc_id as stem, doc_id from labels),
 r as (select doc_id as ordinal, 'd' || (doc_id // 2) || case when doc_id % 3 = 0 then '.pdf' when doc_id % 3 = 1 then '.md' else '.txt' end as filename from documents),
 a as (select ordinal, filename, regexp_replace(filename, '^(.+)\\.[^.]+$', '\\1') as stem, regexp_extract(filename, '(\\.[^.]+)$', 1) as suffix from r),
 k as (select a.*, p.stem is not null as pdf_there, m.stem is not null as md_there from a left join (select distinct stem from p) p using (stem) left join (select distinct stem from m) m using (stem)),
 b as (select *, coalesce(bool_or(suffix = '.pdf' and pdf_there) over w, false) as pdf_before, coalesce(bool_or(suffix = '.md') over w, false) as md_before from k
       window w as (partition by stem order by ordinal rows between unbounded preceding and 1 preceding)),
-o as (select *, case suffix when '.pdf' then pdf_there and not pdf_before when '.md' then md_there and not pdf_before and not md_before else false end as deleted from b)
-select ordinal, filename, deleted, case when not deleted then 'not found' end as error from o""")
+o as (select *, case suffix when '.pdf' then pdf_there and not pdf_before when '.md' then md_there and not pdf_before and not md_before else false end as deleted from b)"""
+
+
+@query(_CASCADE_SQL + " select ordinal, filename, deleted, case when not deleted then 'not found' end as error from o")
 def s11_delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cascade(spark, sf_dir)[3]
+
+
+@query(_CASCADE_SQL + """, gone as (select stem, bool_or(suffix = '.pdf') as pdf_gone from o where deleted group by 1)
+select 'pdf' as kind, stem, doc_id from p where stem not in (select stem from gone where pdf_gone) union all
+select kind, stem, doc_id from m, (select unnest(['md', 'set']) as kind) where stem not in (select stem from gone)""")
+def s11_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cascade leaves of the three tables."""
+    pdfs, mds, sets, _ = _cascade(spark, sf_dir)
+    left = [t.select(F.lit(kind).alias("kind"), "stem", "doc_id") for kind, t in (("pdf", pdfs), ("md", mds), ("set", sets))]
+    return left[0].unionByName(left[1]).unionByName(left[2])
+
+
+def _cascade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
     stem = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     pdfs, mds = docs.where("doc_id % 2 = 0").select(stem.alias("stem"), "doc_id"), table(spark, sf_dir, "labels").select(stem.alias("stem"), "doc_id")
     suffix = F.when(F.col("doc_id") % 3 == 0, ".pdf").when(F.col("doc_id") % 3 == 1, ".md").otherwise(".txt")
     request = docs.select(F.col("doc_id").alias("ordinal"), F.concat(F.lit("d"), F.floor(F.col("doc_id") / 2).cast("string"), suffix).alias("filename"))
-    return C.delete_cascade(pdfs, mds, mds, request)[3]
+    return C.delete_cascade(pdfs, mds, mds, request)
 
 
 @query("select * from documents")

@@ -145,9 +145,11 @@ def c6_chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SECTION_SOURCE = f"select doc_id * 100000 + section as doc_id, content from ({_SECTION_ROWS} select * from sec where section > 0 or trim(content) <> '')"
 
 
-@query(f"""select cast(doc_id // 100000 as bigint) as doc_id, row_number() over (partition by doc_id // 100000 order by doc_id, chunk_index) - 1 as chunk_index, content from ({pack_sql(_SECTION_SOURCE, md_atoms_sql(300), "length({c})", 300, 30)})""")
+@query(f"""with c as ({pack_sql(_SECTION_SOURCE, md_atoms_sql(300), "length({c})", 300, 30)}), s as ({_SECTION_ROWS} select * from sec)
+select s.doc_id, row_number() over (partition by s.doc_id order by section, chunk_index) - 1 as chunk_index, c.content, cast(s.start + c.start as int) as start, cast(s.start + c."end" as int) as "end", h1, h2, h3
+from c join s on c.doc_id = s.doc_id * 100000 + s.section""")
 def c7_chunk_markdown_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.chunk_markdown(X.md_conv(spark, sf_dir), True, 300, 30).select("doc_id", "chunk_index", "content")
+    return K.chunk_markdown(X.md_conv(spark, sf_dir), True, 300, 30).drop("token_count")
 
 
 @query(pack_sql(X.DOCS_SQL, r"regexp_extract_all(content, '\s*\S+|\s+$')", "strlen({c})", 400, cut="byte"))
@@ -160,12 +162,12 @@ def c9_chunk_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.chunk_sentence(X.docs(spark, sf_dir), 64, 16).select(*COLUMNS)
 
 
-@query(f"""with src as ({X.MD_TABLE_SQL}), n as (select n_regionkey as doc_id, n_nationkey, n_name, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as k from nation),
-g as (select doc_id, 1 + k // 3 as o, concat('| key | name |', chr(10), '| --- | --- |', chr(10), string_agg(concat('| ', n_nationkey, ' | ', n_name, ' |'), chr(10) order by n_nationkey)) as content, true as is_table from n group by 1, 2),
-a as (select * from g union all select doc_id, 0, concat('Region ', doc_id, chr(10)), false from src union all select doc_id, 100000, concat(chr(10), 'End.'), false from src)
-select doc_id, row_number() over (partition by doc_id order by o) - 1 as chunk_index, content, is_table from a""")
+@query(f"""with src as ({X.MD_TABLE_SQL}), n as (select n_regionkey as doc_id, n_nationkey, concat('| ', n_nationkey, ' | ', n_name, ' |') as line, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as k from nation),
+g as (select doc_id, 1 + k // 3 as o, concat('| key | name |', chr(10), '| --- | --- |', chr(10), string_agg(line, chr(10) order by n_nationkey)) as content, string_agg(line, chr(10) order by n_nationkey) as own, true as is_table from n group by 1, 2),
+a as (select * from g union all select doc_id, 0, concat('Region ', doc_id, chr(10)), concat('Region ', doc_id, chr(10)), false from src union all select doc_id, 100000, concat(chr(10), 'End.'), concat(chr(10), 'End.'), false from src)
+select a.doc_id, row_number() over (partition by a.doc_id order by o) - 1 as chunk_index, a.content, cast(strpos(src.content, own) - 1 as int) as start, cast(strpos(src.content, own) - 1 + length(own) as int) as "end", is_table from a join src using (doc_id)""")
 def c10_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.chunk_table(X.md_table(spark, sf_dir)).select("doc_id", "chunk_index", "content", "is_table")
+    return K.chunk_table(X.md_table(spark, sf_dir)).drop("token_count")
 
 
 @query("""with l as (select *, lag(embedding) over (partition by label order by vec_id) as b from embeddings)
@@ -190,9 +192,30 @@ def c12_chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.chunk_lines(X.docs(spark, sf_dir), 64).select(*COLUMNS)
 
 
-@query()
+@query(f"""select doc_id, chunk_index, concat('Lines of one text: ', content) as content, start, "end" from ({pack_sql(X.DOCS_SQL, "string_split(content, chr(10))", "len(regexp_extract_all({c}, '\\S+'))", 60, 0, 1, 0, "token", reach=False)})""")
+def c12_chunk_lines_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prefix of four words stands before every chunk and counts; places are those of the text behind it."""
+    return K.chunk_lines(X.docs(spark, sf_dir), 64, "Lines of one text: ").select(*COLUMNS)
+
+
+@query(f"""with recursive src as ({X.MD_CONV_SQL}), {SECTIONS_SQL},
+ln as (select doc_id, n, line, concat(h1, chr(2), h2, chr(2), h3) as path, case when line like '```%' or f % 2 = 1 then 'code' when trim(line) = '' then 'blank'
+  when regexp_matches(line, '^\\s*([-*+]|\\d+\\.) ') then 'list' when contains(line, '|') then 'table' else 'text' end as kind from lh where lvl = 0),
+tn as (select *, case when lag(kind) over w is distinct from kind or lag(path) over w is distinct from path then 1 else 0 end as turn from ln window w as (partition by doc_id order by n)),
+rn as (select *, sum(turn) over (partition by doc_id order by n) as run from tn),
+el as (select doc_id, run, path, regexp_extract_all(string_agg(line, chr(10) order by n), '{TOKEN}') as ts, string_agg(line, chr(10) order by n) as whole from rn where kind <> 'blank' group by doc_id, run, path),
+cu as (select *, unnest(case when len(ts) <= 64 then [0] else range(0, len(ts), 64) end) as o from el),
+pc as (select doc_id, run, path, o, len(ts[o + 1 : o + 64]) as w, regexp_replace(case when len(ts) = 0 then whole else array_to_string(ts[o + 1 : o + 64], '') end, '^\\s+|\\s+$', '', 'g') as content from cu),
+pt as (select *, case when lag(path) over (partition by doc_id order by run, o) is distinct from path then 1 else 0 end as turn from pc),
+pe as (select *, sum(turn) over (partition by doc_id order by run, o) as peer from pt),
+it as (select *, row_number() over v as i, sum(w) over v as sw from pe window v as (partition by doc_id, peer order by run, o)),
+nx as (select x.doc_id, x.peer, x.i as s, coalesce(max(y.i), x.i) as e from it x left join it y on y.doc_id = x.doc_id and y.peer = x.peer and y.i >= x.i and y.sw - x.sw + x.w <= 64 group by x.doc_id, x.peer, x.i),
+r as (select doc_id, peer, 0 as k, s, e from nx where s = 1 union all select r.doc_id, r.peer, r.k + 1, nx.s, nx.e from r join nx on nx.doc_id = r.doc_id and nx.peer = r.peer and nx.s = r.e + 1),
+mg as (select r.doc_id, r.peer, r.k, any_value(path) as path, string_agg(it.content, chr(10) order by it.i) as content from r join it on it.doc_id = r.doc_id and it.peer = r.peer and it.i between r.s and r.e group by r.doc_id, r.peer, r.k),
+hd as (select *, list_filter(string_split(path, chr(2)), lambda x: x <> '') as hs from mg)
+select doc_id, row_number() over (partition by doc_id order by peer, k) - 1 as chunk_index, content, array_to_string(hs, ' > ') as headings, array_to_string(list_concat(hs, [content]), chr(10)) as contextualized from hd""".replace("\\\\", "\\"))
 def c13_chunk_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: peer merging over cut blocks is tested by its properties."""
+    """The SQL merges peers by a recursion over places, the query by array expressions."""
     made = K.chunk_hybrid(X.md_conv(spark, sf_dir), 64)
     return made.select("doc_id", "chunk_index", "content", F.array_join("headings", " > ").alias("headings"), "contextualized")
 

@@ -46,9 +46,9 @@ def f4_parse_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_STRIPPED}, {_CLOSE} select doc_id, cast(last as int) as last_close, case when last > 0 and json_valid(left(r, last::int)) then left(r, last::int) end as repaired from lc")
 def f5_repair_truncated_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.raw_llm(spark, sf_dir).select("doc_id", T.strip_fence(F.col("raw_response"), "json").alias("r"))
-    closed = rows.select("doc_id", "r", A.last_close(F.col("r")).alias("last_close"))
-    prefix = F.when(F.col("last_close") > 0, F.left("r", F.col("last_close")))
-    return closed.select("doc_id", "last_close", F.when(F.from_json(prefix, "map<string,string>", {"allowSingleQuotes": "false"}).isNotNull(), prefix).alias("repaired"))
+    closed = rows.select("doc_id", "r", A.closes(F.col("r")).alias("c")).withColumn("prefix", F.when(F.col("c.n") == 1, F.left("r", F.col("c.last"))))
+    read = closed.withColumn("o", A.parsed_object(F.col("prefix")))
+    return read.select("doc_id", F.col("c.last").alias("last_close"), F.when(F.col("o._bad").isNull(), F.col("prefix")).alias("repaired"))
 
 
 def _pattern_sql(field: str) -> str:
@@ -174,9 +174,10 @@ def _convert(text: str) -> str:
     return text.upper()
 
 
-@query()
+@query("""select doc_id, coalesce(text not like 'The%', false) as ok, case when text not like 'The%' then upper(replace(text, 'ß', 'ss')) end as content,
+  case when text like 'The%' then 'ValueError: not wanted' when text is null then concat('AttributeError: ', chr(39), 'NoneType', chr(39), ' object has no attribute ', chr(39), 'startswith', chr(39)) end as error from documents""")
 def v2_convert_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: a user function in Python."""
+    """A user function in Python, whose errors are rows."""
     return N.convert_corpus(X.docs(spark, sf_dir), _convert).drop("duration_ms")
 
 
@@ -217,9 +218,19 @@ def _refusing(text: str) -> str:
     raise RuntimeError("no model here")
 
 
-@query()
+_TRIMMED = "'^[ \\t\\n\\f\\r]+|[ \\t\\n\\f\\r]+$', '', 'g'"
+
+
+@query(f"""with {_CHUNKS_SQL}, t as (select doc_id, chunk_index, unnest(regexp_extract_all(lower(content), '[a-z]{{3,}}')) as term from c),
+tf as (select doc_id, chunk_index, term, count(*) as tf from t group by all), df as (select term, count(*) as df from tf group by 1),
+sc as (select doc_id, chunk_index, term, round(tf * ln((select count(*) from c) / df), 6) as score from tf join df using (term)),
+kw as (select doc_id, chunk_index, string_agg(term, '|' order by score desc, term) as keywords from (select * from sc qualify row_number() over (partition by doc_id, chunk_index order by score desc, term) <= 5) group by 1, 2),
+st as (select *, list_filter(list_transform(regexp_extract_all(content, '[^.!?\\n]*[.!?\\n]+\\s*|[^.!?\\n]+$'), lambda x: regexp_replace(x, {_TRIMMED})), lambda x: x <> '') as s from c)
+select doc_id, chunk_index, trim(regexp_replace(content, '[ \\t\\n\\f\\r]+', ' ', 'g')) as cleaned_chunk, coalesce(trim(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')[1]), '') as title,
+  '' as context, coalesce(s[1], '') as summary, coalesce(keywords, '') as keywords, array_to_string(list_filter(s, lambda x: x like '%?'), '|') as questions
+from st left join kw using (doc_id, chunk_index)""")
 def v6_enrich_extractive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: its parts have SQL of their own."""
+    """Fields of chunks without headings."""
     chunks = _chunks(spark, sf_dir).withColumn("headings", F.array().cast("array<string>"))
     made = N.enrich_extractive(chunks.select("doc_id", "chunk_index", "content", "headings"))
     return made.withColumn("keywords", F.array_join("keywords", "|")).withColumn("questions", F.array_join("questions", "|"))
@@ -264,12 +275,12 @@ def s7_newest_chunk_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.load_latest_chunk_set(spark, path).select("stem", "chunk_index", "content", "run_ts")
 
 
-@query(f"""with {_CHUNKS_SQL} select doc_id::varchar as stem, count(*) as total_chunks, string_agg(content, '|' order by chunk_index) as contents from c group by 1""")
+@query(f"""with {_CHUNKS_SQL} select doc_id::varchar as stem, count(*) as total_chunks, string_agg(concat(content, '|', start, '|', "end"), '|' order by chunk_index) as contents from c group by 1""")
 def s10_export_chunk_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exported JSON, read again field by field."""
     out = S.export_chunk_json(_chunks(spark, sf_dir).withColumn("stem", F.col("doc_id").cast("string")), "2024-01-01T00:00:00+00:00")
-    read = out.select("stem", F.from_json("payload", "filename string, total_chunks long, chunks array<struct<chunk_index:int,content:string>>").alias("p"))
-    return read.select("stem", "p.total_chunks", F.array_join(F.transform("p.chunks", lambda c: c["content"]), "|").alias("contents"))
+    read = out.select("stem", F.from_json("payload", "filename string, total_chunks long, chunks array<struct<chunk_index:int,content:string,start:int,end:int>>").alias("p"))
+    return read.select("stem", "p.total_chunks", F.array_join(F.transform("p.chunks", lambda c: F.concat_ws("|", c["content"], c["start"], c["end"])), "|").alias("contents"))
 
 
 @query("""with d as (select doc_id, length(text) as n, len(regexp_extract_all(text, '\\S+')) as w from documents)
@@ -301,6 +312,19 @@ def c17_failing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.chunk_results(docs, "lines_by_limit", 100, 5000, options="options")
 
 
+@query("""with d as (select doc_id, text as t, length(text) as n, 1 + doc_id % 3 as lines from documents where text is not null),
+l as (select doc_id, lines, string_split(t, chr(10)) as ls from d where n % 7 <> 0),
+x as (select doc_id, lines, case when i < len(ls) then concat(ls[i], chr(10)) else ls[i] end as line, i from (select *, unnest(range(1, len(ls) + 1)) as i from l)),
+c as (select doc_id, cast((i - 1) // lines as int) as chunk_index, string_agg(line, '' order by i) as content from x where line <> '' group by all)
+select doc_id, chunk_index, content, cast(coalesce(sum(length(content)) over (partition by doc_id order by chunk_index rows between unbounded preceding and 1 preceding), 0) as int) as start, null as error from c
+union all select doc_id, null, null, null, concat('ValueError: ', n, ' characters') from d where n % 7 = 0""")
+def x5_split_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A splitter as a table function in LATERAL, with options by row."""
+    split = P.table_function(spark, "lines_by_limit")
+    return spark.sql(f"""SELECT d.doc_id, s.chunk_index, s.content, s.start, s.error
+      FROM {{docs}} d, LATERAL {split}(d.content, map('lines', cast(1 + d.doc_id % 3 AS string))) s""", docs=X.docs(spark, sf_dir))
+
+
 def _letters_sql(c: str) -> str:
     return "[" + ", ".join(f"cast(length({c}) - length(replace(lower({c}), '{x}', '')) as double)" for x in "abcdefghijklmnopqrstuvwxyz") + "]"
 

@@ -153,6 +153,36 @@ def convert_with(docs: DataFrame, converter: str, source: str = "content") -> Da
     return N.convert_corpus(docs, entry.run, source)
 
 
+def table_function(spark: SparkSession, splitter: str, name: str | None = None, overlap: int | None = 0) -> str:
+    """A registered splitter as a table function of SQL, for FROM t, LATERAL name(t.content, options): its name.
+
+    name(content string, options map<string,string>) gives chunk_index, content, start, end, error, whose second argument can differ from
+    row to row. What the splitter raises is one row with an error; null content and content without chunks give no rows, and null
+    options are none. Batches go to Python by Arrow; nothing is shuffled. overlap as in locate_offsets.
+    """
+    entry = REGISTRY.get(("splitter", splitter))
+    if entry is None:
+        raise ValueError(f"unknown splitter {splitter}")
+    run = entry.run
+
+    class Split:
+        def eval(self, content, options):
+            if content is None:
+                return
+            try:
+                splits = [s for s in run(content, **dict(options or {})) if s]
+                starts = located(content, splits, overlap)
+            except Exception as e:  # of one row; the rest goes on
+                yield None, None, None, None, f"{type(e).__name__}: {str(e)[:ERROR_LENGTH]}"
+                return
+            for k, (x, start) in enumerate(zip(splits, starts)):
+                yield k, x, start, start + len(x), None
+
+    made = F.udtf(Split, returnType="chunk_index int, content string, start int, end int, error string", useArrow=True)
+    spark.udtf.register(name or splitter, made)
+    return name or splitter
+
+
 def split_with(df: DataFrame, splitter: Callable[[str], list[str]], overlap: int | None = 0) -> DataFrame:
     """Chunks of a user's splitter, with offsets found again; overlap as in locate_offsets."""
 
