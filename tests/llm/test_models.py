@@ -315,6 +315,22 @@ def test_copies_match_brute_force(spark, monkeypatch):
         assert {r["media_id"]: r["component_id"] for r in media.media_copies(docs).collect()} == root
 
 
+def test_crowded_words_lose_no_link(spark, monkeypatch):
+    """Twenty crops of one picture, more than once met a pivot only: every link with its votes, whatever the blocks, and all counted."""
+    base, pictures = media.picture(np.random.default_rng(21).normal(size=64)), {}
+    for k in range(20):
+        y, x = k % 5 * 2, k // 5 * 2
+        pictures[k] = np.ascontiguousarray(base[y : y + 84, x : x + 84])
+    docs = spark.createDataFrame([(k, p.tobytes(), 84, 84) for k, p in pictures.items()], "media_id long, image binary, width int, height int")
+    plain = plain_links(pictures)
+    assert len(plain) > 150
+    for block in (media.BLOCK_ROWS, 7):
+        monkeypatch.setattr(media, "BLOCK_ROWS", block)
+        monkeypatch.setattr(media, "CROWD", block)
+        assert {(r["a"], r["b"]): r["votes"] for r in media.copy_links(docs)[1].collect()} == plain
+    assert {r["media_id"]: r["n_links"] for r in media.media_copies(docs).collect()} == {k: sum(k in ab for ab in plain) for k in pictures}
+
+
 def test_corners_grow_with_area():
     small, large = (media.picture(np.random.default_rng(12).normal(size=64), side) for side in (media.SIDE, 4 * media.SIDE))
     found, most = len(media.describe(large.astype(np.float64))[0]), sum(media.SCALES.values())

@@ -5,10 +5,9 @@ to the image's area; each gets an orientation from its intensity centroid and 25
 class first. The four 64-bit words of a descriptor are Hamming tables: two descriptors that agree in one word meet in a join. A pair of images is
 a copy if MIN_VOTES matches agree on one turn, scale and shift.
 
-In words of at most CROWD rows all rows meet. In a crowded word each row first meets one pivot, the image of least hash, which is the same in all words
-that a group of copies shares, so a group of m copies is linked by some m pairs and not by its square. Images of crowded words that are then still in different
-components meet in all their words, in blocks of BLOCK_ROWS, so no copy is lost and no task holds more than two blocks of a word. Hence n_links counts
-the links that were needed to find the components, and in a large group of copies not every pair.
+All rows of a word meet, those of a crowded word in blocks of BLOCK_ROWS, so no link is lost and no task holds more than two blocks of a word.
+n_links counts every other class that shows the same picture. Hence m different copies of a picture meet in some m * m / 2 pairs, as many as there are
+links between them to count.
 
 Images that are null, empty or of the wrong length have no corners, as have those of at most 2 * RADIUS + 4 pixels on a side; they match only equal bytes
 (null: nothing). Places beyond 2^20 pixels count as there. Rows that share an id are one image with the corners of all; equal rows are one class. An
@@ -39,7 +38,7 @@ SIDE = 96
 COPY_EVERY = 10
 BROADCAST_IDS = 200_000
 BLOCK_ROWS = 1_000
-CROWD = 16
+CROWD = 1_000  # rows of a word that meet undealt
 TASK_PICTURES = 1_000
 
 _RNG = np.random.default_rng(31)
@@ -164,29 +163,13 @@ def _votes(pairs: DataFrame, min_votes: int) -> DataFrame:
     return agreed.groupBy("a", "b").agg(F.max("votes").alias("votes"))
 
 
-def _pivot_pairs(shared: DataFrame) -> DataFrame:
-    """Rows of a word with its pivot; all rows of a word that isn't crowded are pivots."""
-    marked = shared.withColumn("pivot", (F.col("n") <= CROWD) | (F.col("m.media_id") == F.col("pivot_id")))
-    one = marked.where("pivot").select("table", "word", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("block"), F.col("m").alias("p"))
-    met = marked.select("table", "word", "block", "m", "pivot").join(one, ["table", "word", "block"])
-    met = met.where("p.media_id < m.media_id OR (p.media_id > m.media_id AND NOT pivot)")
-    first = F.col("p.media_id") < F.col("m.media_id")
-    return met.select(F.when(first, F.col("p")).otherwise(F.col("m")).alias("a"), F.when(first, F.col("m")).otherwise(F.col("p")).alias("b"))
-
-
-def _open_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame | None:
-    """Rows of different components, of images that may have missed each other in a crowded word; None without any."""
-    labelled = saved(shared.withColumn("media_id", F.col("m.media_id")).join(roots.withColumnRenamed("node", "media_id"), "media_id", "left").withColumn("comp", F.coalesce("component", "media_id")).drop("component"))
-    crowded = labelled.where(F.col("n") > CROWD)
-    open_words = crowded.groupBy("table", "word").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("table", "word")
-    images = saved(crowded.join(open_words, ["table", "word"], "left_semi").select("media_id").distinct())
-    if not images.head(1):
-        return None
-    rows = labelled.join(images, "media_id", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-    dealt = rows.select("table", "word", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "m", "comp")
+def _met_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b) of all rows of different images in a word, a's id the smaller; a crowded word's rows meet block by block."""
+    rows = shared.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    dealt = rows.select("table", "word", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "m")
     a, b = dealt.alias("x"), dealt.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("table", "word", "one", "two")]
-    met = a.join(b, same[0] & same[1] & same[2] & same[3]).where("x.m.media_id < y.m.media_id AND x.comp <> y.comp AND (x.one = x.two OR x.block <> y.block)")
+    met = a.join(b, same[0] & same[1] & same[2] & same[3]).where("x.m.media_id < y.m.media_id AND (x.one = x.two OR x.block <> y.block)")
     return met.select(F.col("x.m").alias("a"), F.col("y.m").alias("b"))
 
 
@@ -203,17 +186,15 @@ def copy_links(media: DataFrame, min_votes: int = MIN_VOTES) -> tuple[DataFrame,
     table = F.transform("words", lambda w, i: F.struct(w.alias("word"), (i % WORDS).cast("tinyint").alias("table"), F.get("points", F.floor(i / WORDS).cast("int")).alias("at")))
     rows = single.select("media_id", F.explode(table).alias("r")).select("r.table", "r.word", F.struct("media_id", F.col("r.at").alias("at")).alias("m"))
     # Only words that several images share are written.
-    words = rows.groupBy("table", "word").agg(F.count("*").alias("n"), F.min("m.media_id").alias("low"), F.max("m.media_id").alias("high"), F.min(F.struct(F.xxhash64("m.media_id").alias("h"), F.col("m.media_id").alias("id")))["id"].alias("pivot_id"))
+    words = rows.groupBy("table", "word").agg(F.count("*").alias("n"), F.min("m.media_id").alias("low"), F.max("m.media_id").alias("high"))
     words = words.where("low <> high").drop("low", "high")
-    cuts = F.ceil(F.col("n") / BLOCK_ROWS)
-    shared = saved(rows.join(words, ["table", "word"]).withColumn("cuts", cuts).withColumn("block", F.pmod(F.xxhash64("m.media_id"), F.col("cuts"))))
-    links = saved(_votes(_pivot_pairs(shared), min_votes))
-    rest = _open_pairs(shared, connected_components(links.select("a", "b")))
-    return classes, links if rest is None else saved(links.unionByName(_votes(rest, min_votes)))
+    cuts = F.when(F.col("n") > CROWD, F.ceil(F.col("n") / BLOCK_ROWS)).otherwise(F.lit(1).cast("long"))
+    shared = rows.join(words, ["table", "word"]).withColumn("cuts", cuts).withColumn("block", F.pmod(F.xxhash64("m.media_id"), F.col("cuts")))
+    return classes, saved(_votes(_met_pairs(saved(shared)), min_votes))
 
 
 def media_copies(media: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
-    """Per image: media_id, class_id, component_id (smallest media_id of its copies, itself included), n_links of its class that were found."""
+    """Per image: media_id, class_id, component_id (smallest media_id of its copies, itself included), n_links of its class, all counted."""
     classes, links = copy_links(media, min_votes)
     roots = connected_components(links.select("a", "b"))
     ends = links.select(F.col("a").alias("end_id")).unionByName(links.select(F.col("b").alias("end_id"))).groupBy("end_id").agg(F.count("*").alias("n_links"))
