@@ -155,6 +155,34 @@ def test_perplexity_separates_quality(spark):
     assert kneser_ney.perplexity_quality(docs.limit(0), none).count() == 0
 
 
+def test_all_trusted_documents_train(spark, monkeypatch):
+    """More of them than go to all tasks, with the same result as by broadcast; quantiles of all values."""
+    docs = spark.range(100_000).selectExpr("id AS doc_id", "concat('w', id) AS text", "'en' AS lang")
+    labels, seen = docs.selectExpr("doc_id", "1 AS quality"), []
+
+    class Stop(Exception):
+        pass
+
+    def fit(trusted):
+        seen.append(trusted.count())
+        raise Stop
+
+    wanted = labels.where(~kneser_ney.held_out("doc_id") & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(kneser_ney.CALIBRATION)) != 0)).count()
+    with monkeypatch.context() as m, pytest.raises(Stop):
+        m.setattr(kneser_ney, "fit", fit)
+        kneser_ney.perplexity_quality(docs, labels)
+    assert seen == [wanted]
+    few = docs.limit(200)
+    once = sorted(map(tuple, kneser_ney.perplexity_quality(few, labels).collect()))
+    monkeypatch.setattr(kneser_ney, "BROADCAST_IDS", 10)
+    assert sorted(map(tuple, kneser_ney.perplexity_quality(few, labels).collect())) == once
+    values = np.random.default_rng(8).lognormal(2, 1, 30_000).round(3)
+    rows = spark.createDataFrame(list(zip(["a", "b", "b"] * 10_000, values.tolist())), "lang string, perplexity double")
+    for q in (0.0, 0.5, 0.995, 1.0):
+        got = {r["lang"]: r["limit"] for r in kneser_ney.exact_quantiles(rows, "lang", q).collect()}
+        assert got == {k: np.sort(x)[max(int(np.ceil(q * len(x))), 1) - 1] for k, x in (("a", values[::3]), ("b", np.delete(values, np.s_[::3])))}
+
+
 PAGE = """<html><head><title>T</title><script>var x="</p><p>no";</script><style>p{}</style></head><body><div class="cookie-notice"><p>We use cookies</p></div>
 <nav><ul><li><a href="/">Home</a><li><a href=/x>More</a></ul></nav><article><h1>Caf&eacute;  news</h1><p>First &amp; second
  line, with <b>bold</b> text.<p>Next<br>part here.<div class="ad">Buy now</div><p>Last part of it.</p></article>
