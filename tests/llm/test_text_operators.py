@@ -419,6 +419,16 @@ def test_pivot_keeps_words_and_chances():
     assert abs(total / 300 - 0.3).max() < 0.12
 
 
+def test_outputs_come_from_all_words(spark, documents, monkeypatch):
+    """Also where the words of a class are too rare to go to all tasks."""
+    found = []
+    for most in (maxent_lm.HEAD_WORDS, 50):
+        monkeypatch.setattr(maxent_lm, "HEAD_WORDS", most)
+        model = maxent_lm.fit(documents.select("text"))[0]
+        found.append((model.words.tolist(), model.outputs.tolist(), model.out_bias.round(4).tolist()))
+    assert found[0] == found[1] and len(found[0][0]) > 200
+
+
 def test_lm_base_scores(spark, documents):
     import math
 
