@@ -295,3 +295,23 @@ def test_streams_in_batches_and_again(spark, tmp_path):
     add(2)
     batch = K.chunk_token(spark.createDataFrame(sum(docs, []), "doc_id long, content string"), 2, 0)
     assert run() == sorted(tuple(r) for r in batch.select("doc_id", "chunk_index", "content").collect())
+
+
+def test_keywords_of_rare_terms(spark, monkeypatch):
+    """The same terms whether their df goes to all tasks or not, ties and keys in two rows included; nothing is shuffled term by term."""
+    import math
+    from collections import Counter
+
+    rows = [(1, 0, "one two two İstanbul abc abd abe abf"), (1, 1, "two three"), (1, 1, "three four ONE"), (2, 0, ""), (2, 1, "ab 12"), (3, 0, "one four five six seven eight nine ten " * 3)]
+    chunks, held = spark.createDataFrame(rows, "doc_id long, chunk_index int, content string"), {}
+    for d, c, t in rows:
+        held.setdefault((d, c), Counter()).update(x for x in "".join(x if "a" <= x <= "z" else " " for x in t.lower()).split() if len(x) > 2)
+    df, want = Counter(t for x in held.values() for t in x), set()
+    for key, x in held.items():
+        best = sorted((-round(tf * math.log(len(rows) / df[t]), 6), t) for t, tf in x.items())[:3]
+        want |= {(*key, t, -s, i) for i, (s, t) in enumerate(best, 1)}
+    for most, size in ((N.HEAD_TERMS, N.SLICE_WORDS), (4, 2), (0, 2)):
+        monkeypatch.setattr(N, "HEAD_TERMS", most)
+        monkeypatch.setattr(N, "SLICE_WORDS", size)
+        assert set(map(tuple, N.tfidf_keywords(chunks, 3).collect())) == want
+    assert N.tfidf_keywords(chunks.limit(0), 3).count() == 0

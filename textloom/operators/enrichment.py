@@ -6,7 +6,10 @@ import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +17,12 @@ from textloom.functions import answers as A
 from textloom.functions import text as T
 from textloom.operators import chunking as K
 from textloom.operators import editing as E
+from textloom.sources.storage import shared_folder
 
-#: Tasks that a term is dealt to when its document frequency is looked up.
-SALTS = 16
+#: Terms whose document frequency goes to all tasks; those of all others meet their chunks in a join.
+HEAD_TERMS = 1 << 18
+#: Words of chunks that a task ranks at once.
+SLICE_WORDS = 1 << 20
 #: HTML to Markdown as pattern and replacement, in this order; the patterns mean the same to Java and RE2.
 HTML_RULES = (
     (r"(?is)<!--.*?-->", ""),
@@ -152,18 +158,77 @@ def enrichment_summary(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("total"), F.count_if(F.col("status") != "error").alias("succeeded"), F.count_if(F.col("status") == "error").alias("failed"))
 
 
+def _frequent(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The terms with the highest df, at most so many: whole levels of a histogram on a logarithmic scale; and whether they are all."""
+    level = F.floor(8 * F.log2("df"))
+    room, least, levels = most, None, df.groupBy(level.alias("level")).count().collect()  # 8 * 64 rows at most
+    for at, size in sorted(((r["level"], r["count"]) for r in levels), reverse=True):
+        if size > room:
+            break
+        room, least = room - size, at
+    return df.where(level >= least) if least is not None else df.limit(0), most - room == sum(r["count"] for r in levels)
+
+
+def _best_terms(shared, n: int, k: int):
+    """doc_id, chunk_index, term, tf, df of the terms of each chunk that can be among its k best, and of those whose df isn't known here (null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, df = shared.value
+        for b in batches:
+            upto, first = b.column("words").offsets.to_numpy(), 0
+            while first < b.num_rows:
+                last = max(first + 1, int(np.searchsorted(upto, upto[first] + SLICE_WORDS, "right")) - 1)
+                part, first = b.slice(first, last - first), last
+                words = part.column("words")
+                terms = words.flatten().dictionary_encode()
+                size = max(1, len(terms.dictionary))
+                owner = pc.list_parent_indices(words).to_numpy().astype(np.int64)
+                pairs, tf = np.unique(owner * size + terms.indices.to_numpy(), return_counts=True)
+                row, term = np.divmod(pairs, size)
+                at = pc.index_in(terms.dictionary, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)[term]
+                hit = at >= 0
+                found = np.where(hit, df[at] if len(df) else 0, 0)
+                score = np.where(hit, tf * np.log(n / np.maximum(found, 1)), -np.inf)
+                order = np.lexsort((-score, row))
+                # The k-th best score of each chunk; Spark rounds and breaks ties among what reaches it.
+                begins = np.searchsorted(row, np.arange(part.num_rows))
+                sizes = np.diff(np.append(begins, len(row)))
+                least = np.full(part.num_rows, -np.inf)
+                least[sizes >= k] = score[order[begins[sizes >= k] + k - 1]]
+                keep = np.flatnonzero(~hit | (score >= least[row] - 2e-6))
+                keys = [part.column(c).take(pa.array(row[keep])) for c in ("doc_id", "chunk_index")]
+                frequency = pa.array(found[keep], pa.int64(), mask=~hit[keep])
+                yield pa.RecordBatch.from_arrays([*keys, terms.dictionary.take(pa.array(term[keep])), pa.array(tf[keep], pa.int64()), frequency], names=["doc_id", "chunk_index", "term", "tf", "df"])
+
+    return run
+
+
 def tfidf_keywords(chunks: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, chunk_index, term, score, rank: the k best terms of each chunk by tf * ln(N / df), ties by term."""
-    terms = chunks.select("doc_id", "chunk_index", F.explode_outer(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{3,}"), F.lit(0))).alias("term")).where("term IS NOT NULL")
-    tf = terms.groupBy("doc_id", "chunk_index", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = chunks.agg(F.count("*").alias("n"))
-    # A term of every chunk is dealt to SALTS tasks.
-    salted = tf.withColumn("salt", F.pmod(F.xxhash64("doc_id", "chunk_index"), F.lit(SALTS)).cast("int"))
-    dealt = df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    scored = salted.join(dealt, ["term", "salt"]).join(F.broadcast(n)).withColumn("score", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6))  # n is one row
-    place = F.row_number().over(Window.partitionBy("doc_id", "chunk_index").orderBy(F.desc("score"), "term"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("doc_id", "chunk_index", "term", "score", "rank")
+    """doc_id, chunk_index, term, score, rank: the k best terms of each chunk by tf * ln(N / df), ties by term.
+
+    Texts are shuffled once by chunk, so rows with one key count as one chunk. Tasks count the terms of a chunk and send on only those that can be
+    among its best, with the df of HEAD_TERMS frequent terms at hand; rarer terms meet their df in a join.
+    """
+    spark = chunks.sparkSession
+    shared_folder(spark)
+    texts = chunks.groupBy("doc_id", "chunk_index").agg(F.collect_list("content").alias("contents"), F.count("*").alias("rows"))
+    words = texts.select("doc_id", "chunk_index", "rows", F.flatten(F.transform("contents", lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)))).alias("words"))
+    # No term is empty: that row counts the chunks.
+    once = words.select(F.explode(F.array_append(F.transform(F.array_distinct("words"), lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("n"))), F.struct(F.lit("").alias("term"), F.col("rows").alias("n")))).alias("t"))
+    counts = once.groupBy("t.term").agg(F.sum("t.n").alias("df")).checkpoint()
+    n = (counts.where("term = ''").first() or {"df": 0})["df"]
+    df = counts.where("term <> ''")
+    head, whole = _frequent(df, HEAD_TERMS)
+    known = head.toArrow()  # HEAD_TERMS rows at most
+    shared = spark.sparkContext.broadcast((known.column("term").combine_chunks(), known.column("df").to_numpy()))
+    key, place = (chunks.schema[c].dataType.simpleString() for c in ("doc_id", "chunk_index"))
+    made = words.select("doc_id", "chunk_index", "words").mapInArrow(_best_terms(shared, n, k), f"doc_id {key}, chunk_index {place}, term string, tf long, df long")
+    if not whole:
+        made = made.checkpoint()
+        made = made.where("df IS NOT NULL").unionByName(made.where("df IS NULL").drop("df").join(df, "term").select(*made.columns))
+    scored = made.withColumn("score", F.round(F.col("tf") * F.log(F.lit(n) / F.col("df")), 6))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "chunk_index").orderBy(F.desc("score"), "term"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("doc_id", "chunk_index", "term", "score", "rank")
 
 
 def enrich_extractive(chunks: DataFrame, k: int = 5) -> DataFrame:
