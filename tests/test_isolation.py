@@ -150,3 +150,33 @@ def test_the_last_silence_needs_no_later_event(spark, tmp_path):
     second = sorted([*first, (1, 500, 500, 1), (4, 7, 7, 1)])
     assert run() == second
     assert run() == second  # nothing new: nothing is written again
+
+
+def test_silences_after_empty_files_and_unfinished_batches(spark, tmp_path, monkeypatch):
+    """Nothing is lost where the first files have no rows, or a batch without input is repeated; few groups hold many keys."""
+    import json
+
+    from textloom.streaming import silences
+
+    monkeypatch.setattr(silences, "BUCKETS", 3)
+    draw, events = random.Random(5), []
+    for u in range(200):
+        events += [(u, draw.randrange(0, 40_000)) for _ in range(draw.randint(1, 9))]
+    rows = spark.createDataFrame(events, "user_id long, s long").selectExpr("user_id", "timestamp_seconds(s) AS ts")
+    for _ in range(2):
+        rows.limit(0).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    time.sleep(1.1)
+    rows.repartition(3).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    silences.stream_silences(G.stream_table(spark, str(tmp_path), "events", 1), "user_id", "ts", 3600.0, f"{tmp_path}/out", f"{tmp_path}/state", late_s=1e9, idle_s=12.0)
+    got, want = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").selectExpr("user_id", "unix_seconds(from_ts)", "unix_seconds(stalled_at) - 3600", "n_events").collect())), []
+    for u in range(200):
+        for t in sorted(t for v, t in events if v == u):
+            if want and want[-1][0] == u and t - want[-1][2] <= 3600:
+                want[-1] = (u, want[-1][1], t, want[-1][3] + 1)
+            else:
+                want.append((u, t, t, 1))
+    assert got == sorted(want)
+    repeated = {"durationMs": {"addBatch": 1}, "sources": [{"startOffset": 1, "endOffset": 1}], "numInputRows": 0, "stateOperators": [{"numRowsTotal": 0}]}
+    listed = {**repeated, "durationMs": {"addBatch": 1, "latestOffset": 1}}
+    state = lambda p: silences._open(type("Query", (), {"lastProgress": type("Progress", (dict,), {"json": json.dumps(p)})(p)}))
+    assert state(repeated) and not state(listed)
