@@ -315,3 +315,13 @@ def test_keywords_of_rare_terms(spark, monkeypatch):
         monkeypatch.setattr(N, "SLICE_WORDS", size)
         assert set(map(tuple, N.tfidf_keywords(chunks, 3).collect())) == want
     assert N.tfidf_keywords(chunks.limit(0), 3).count() == 0
+
+
+def test_letters_lower_a_text_once(spark):
+    import pyspark.sql.functions as F
+
+    texts = ["Abc ABC zZ", "İé ß", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string").select("doc_id", K.letter_vector(F.col("content")).alias("v"))
+    assert "replace(lower(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["doc_id"]: r["v"] for r in rows.collect()}
+    assert got[0] == [2.0, 2.0, 2.0, *[0.0] * 22, 2.0] and got[2] == [0.0] * 26 and len(got[1]) == 26

@@ -367,7 +367,10 @@ def boundary_groups(rows: DataFrame, key: str, order: str, vector: str, threshol
 
 def letter_vector(c: Column) -> Column:
     """How often each of the letters a to z stands in a text: a plain vector for chunk_semantic where there is no model."""
-    return F.transform(F.array(*[F.lit(x) for x in "abcdefghijklmnopqrstuvwxyz"]), lambda x: (F.length(c) - F.length(F.replace(F.lower(c), x, F.lit("")))).cast("double"))
+    letters = F.array(*[F.lit(x) for x in "abcdefghijklmnopqrstuvwxyz"])
+    # The text is put in lower case once for all letters.
+    counts = lambda low: F.transform(letters, lambda x: (F.length(c) - F.length(F.replace(low, x, F.lit("")))).cast("double"))
+    return F.get(F.transform(F.array(F.lower(c)), counts), F.lit(0))
 
 
 def chunk_semantic_text(df: DataFrame, embed: Callable[[Column], Column] = letter_vector, threshold: float = 0.5, size: int = 512) -> DataFrame:
