@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import DATA, same
-from textloom.llm import collocations, filter_audit, language_mixture
+from textloom.llm import collocations, dictionary, filter_audit, language_mixture
 from textloom.llm.queries import ORACLES, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -215,3 +217,19 @@ def test_expectation_maximisation():
             if moved <= language_mixture.CLOSE:
                 break
         assert np.allclose(got[i], shares, atol=1e-4) and np.isclose(total[i], np.log((own * shares[:, None]).sum(axis=0)).sum(), rtol=1e-4)
+
+
+def test_words_of_a_shard_take_little_memory():
+    """The dictionary of a shard codes words as they come, and holds no Python object a word."""
+    words, seen, n = dictionary.Words(), {}, 100_000
+    batches = [[b"word-%d" % (i * k) for i in range(n)] for k in (2, 3)]
+    arrays = [pa.array(b, pa.binary()) for b in batches]
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    got = [words.add(a, np.arange(n, dtype=np.int32)) for a in arrays]
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert [g.tolist() for g in got] == [[seen.setdefault(w, len(seen)) for w in b] for b in batches]
+    assert words.words.to_pylist() == list(seen)
+    assert words.counts.sum() == 2 * n and words.counts[seen[b"word-6"]] == 2
+    assert held < 40 * len(seen)

@@ -15,6 +15,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,17 +65,21 @@ def coded(texts: ts.Texts) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray
 
 
 class Words:
-    """A dictionary that grows with each batch of a shard."""
+    """A dictionary that grows with each batch of a shard; its words lie in one Arrow array, in order of their codes."""
 
     def __init__(self) -> None:
-        self.codes: dict[bytes, int] = {}
+        self.words = pa.array([], pa.binary())
         self.counts = np.zeros(0, dtype=np.int64)
 
     def add(self, words: pa.Array, codes: np.ndarray) -> np.ndarray:
         """The codes here of all words of a batch, given by its own distinct words and codes."""
-        known = self.codes
-        mapped = np.array([known.setdefault(w, len(known)) for w in words.to_pylist()], dtype=np.int32)
-        counts = np.zeros(len(known), dtype=np.int64)
+        found = pc.index_in(words, value_set=self.words)
+        fresh = found.is_null()
+        mapped = found.fill_null(0).to_numpy(zero_copy_only=False)
+        new = fresh.to_numpy(zero_copy_only=False)
+        mapped = np.where(new, len(self.words) + np.cumsum(new) - 1, mapped).astype(np.int32)
+        self.words = pa.concat_arrays([self.words, words.filter(fresh)])
+        counts = np.zeros(len(self.words), dtype=np.int64)
         counts[: len(self.counts)] = self.counts
         if len(mapped):
             counts[mapped] += np.bincount(codes, minlength=len(mapped))

@@ -32,7 +32,7 @@ BIT = {letter: 1 << i for i, letter in enumerate(LETTERS)}
 MIN_WORDS = 200
 #: Bytes of text in one shard of the matrix, in slices that share the shard's dictionary; a longer text is a shard by itself.
 SHARD_BYTES = 16 << 20
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 2 << 20
 _MARKS = ts.byte_table("#$%&*|")
 _CAPITALS = ts.byte_table("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
@@ -54,27 +54,30 @@ def document_shards(docs: DataFrame, key: str = "doc_id", part: str = "source",
         made, held, size, words = 0, [], 0, D.Words()
 
         def shard(task: int) -> pa.RecordBatch:
+            """What is held, as one row; nothing stays held while it is sent."""
+            nonlocal made, held, size, words
             columns = [np.concatenate(x) for x in zip(*(h[3:] for h in held))]
             columns[1] = np.concatenate([[0], np.cumsum(columns[1])])
-            lists = [pa.array(list(words.codes), pa.binary()), pa.array(words.counts), *(pa.concat_arrays([h[k] for h in held]) for k in range(3))]
+            lists = [words.words, pa.array(words.counts), *(pa.concat_arrays([h[k] for h in held]) for k in range(3))]
+            made, held, size, words = made + 1, [], 0, D.Words()
             cells = [D.one_row(x, kind_) for x, kind_ in zip(lists, arrow)]
-            return pa.RecordBatch.from_arrays([pa.array([(task << D._PARTITION_BITS) + made], pa.int64()), *cells, *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array([(task << D._PARTITION_BITS) + made - 1], pa.int64()), *cells, *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=schema.names)
 
         for b in ts.slices(batches, "text", _SLICE_BYTES):
             texts = ts.Texts(b.column("text"))
             distinct, codes, starts, _ = D.coded(texts)
             codes = words.add(distinct, codes)
-            rows, wide = np.repeat(np.arange(texts.n, dtype=np.int64), texts.word_counts(starts)), max(1, len(words.codes))
+            rows, wide = np.repeat(np.arange(texts.n, dtype=np.int64), texts.word_counts(starts)), max(1, len(words.words))
             cells, values = np.unique(rows * wide + codes, return_counts=True)
             per_text = np.bincount(cells // wide, minlength=texts.n).astype(np.int64)
             flags = np.where(100 * texts.count(_CAPITALS) > 2 * texts.code_points(), BIT["C"], 0) + np.where(texts.count(_MARKS) > 0, BIT["D"], 0)
             data, at = texts.bytes, texts.offsets
             digests = pa.array([hashlib.sha256(data[at[i] : at[i + 1]]).digest() for i in range(texts.n)], pa.binary())
-            held.append((b.column("key"), b.column("part"), digests, flags.astype(np.uint8), per_text, (cells % wide).astype(np.int32), values.astype(np.int32)))
+            own = [b.column(c).take(pa.array(np.arange(texts.n))) for c in ("key", "part")]  # copies, which don't keep the batch's texts
+            held.append((*own, digests, flags.astype(np.uint8), per_text, (cells % wide).astype(np.int32), values.astype(np.int32)))
             size += len(data)
             if size >= SHARD_BYTES:
                 yield shard(b.column("task")[0].as_py())
-                made, held, size, words = made + 1, [], 0, D.Words()
             task = b.column("task")[0].as_py()
         if held:
             yield shard(task)
