@@ -183,6 +183,16 @@ def test_all_trusted_documents_train(spark, monkeypatch):
         assert got == {k: np.sort(x)[max(int(np.ceil(q * len(x))), 1) - 1] for k, x in (("a", values[::3]), ("b", np.delete(values, np.s_[::3])))}
 
 
+def test_texts_without_a_partner_are_not_shuffled(spark):
+    ids = spark.range(0, 60_000, 3).select(F.col("id").alias("trusted_id"))
+    rows = spark.range(60_000).select(F.when(F.col("id") % 1000 != 1, F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    passed = kneser_ney.likely_among(rows, "doc_id", ids, 20_000)
+    assert passed.columns == rows.columns and passed.join(ids, F.col("doc_id") == F.col("trusted_id")).count() == 20_000 - 20
+    assert passed.count() < 20_000 + 0.1 * 40_000
+    as_int = kneser_ney.likely_among(rows.withColumn("doc_id", F.col("doc_id").cast("int")), "doc_id", ids, 20_000)
+    assert as_int.join(ids, F.col("doc_id") == F.col("trusted_id")).count() == 20_000 - 20  # equal values of another type have another hash
+
+
 PAGE = """<html><head><title>T</title><script>var x="</p><p>no";</script><style>p{}</style></head><body><div class="cookie-notice"><p>We use cookies</p></div>
 <nav><ul><li><a href="/">Home</a><li><a href=/x>More</a></ul></nav><article><h1>Caf&eacute;  news</h1><p>First &amp; second
  line, with <b>bold</b> text.<p>Next<br>part here.<div class="ad">Buy now</div><p>Last part of it.</p></article>
