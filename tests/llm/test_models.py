@@ -4,6 +4,7 @@ import itertools
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -369,6 +370,49 @@ def test_crowded_words_lose_no_link(spark, monkeypatch):
     assert {r["media_id"]: r["n_links"] for r in media.media_copies(docs).collect()} == {k: sum(k in ab for ab in plain) for k in pictures}
 
 
+def most_rows(spark, since):
+    """The most rows that a join or Generate of the queries after execution since has made."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(i) for i in range(nodes.size() if run > since else 0)):
+            metrics = node.metrics()
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                if m.name() == "number of output rows" and ("Join" in node.name() or node.name() == "Generate") and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_a_corner_meets_a_block_as_one_row(spark):
+    """Crops of one picture: no join or Generate makes more rows than there are words of corners, though these have more matches."""
+    base, rows = media.picture(np.random.default_rng(33).normal(size=64)), []
+    for k in range(25):
+        y, x = k % 5 * 2, k // 5 * 2
+        rows.append((k, np.ascontiguousarray(base[y : y + 84, x : x + 84])))
+    words = [media.describe(p.astype(np.float64))[1] for _, p in rows]
+    matches = sum(int((w[:, None] == v[None]).sum()) for w, v in itertools.combinations(words, 2))
+    docs = spark.createDataFrame([(k, p.tobytes(), 84, 84) for k, p in rows], "media_id long, image binary, width int, height int")
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    since = max((runs.apply(i).executionId() for i in range(runs.size())), default=-1)
+    assert media.copy_links(docs)[1].count() > 250
+    assert 0 < most_rows(spark, since) <= sum(w.size for w in words) < matches
+
+
+def test_matches_in_slices_keep_their_groups(spark, monkeypatch):
+    """Slices of few matches and Arrow batches of few rows cut no group."""
+    links = [(a, b, [b - 1, b], [a * 10 + b] * 2) for a in range(30) for b in range(1, 8)]
+    table = pa.table({"a": [r[0] for r in links], "block": [r[1] // 4 for r in links], "ids": [r[2] for r in links], "ka": [r[3][0] for r in links]})
+    for most, size in ((1, 1), (5, 3), (9, 50), (1 << 20, 1000)):
+        monkeypatch.setattr(media, "SLICE_MATCHES", most)
+        got = list(media._whole_groups(iter(table.to_batches(max_chunksize=size))))
+        assert pa.concat_tables(got).combine_chunks().equals(table.combine_chunks())
+        keys = [set(zip(t["a"].to_pylist(), t["block"].to_pylist())) for t in got]
+        assert all(not (x & y) for x, y in itertools.combinations(keys, 2))
+        assert all(len(k) == 1 or sum(map(len, t["ids"].to_pylist())) <= most for k, t in zip(keys, got))
+
+
 def test_corners_grow_with_area():
     small, large = (media.picture(np.random.default_rng(12).normal(size=64), side) for side in (media.SIDE, 4 * media.SIDE))
     found, most = len(media.describe(large.astype(np.float64))[0]), sum(media.SCALES.values())

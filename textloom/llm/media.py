@@ -5,9 +5,10 @@ to the image's area; each gets an orientation from its intensity centroid and 25
 class first. The four 64-bit words of a descriptor are Hamming tables: two descriptors that agree in one word meet in a join. A pair of images is
 a copy if MIN_VOTES matches agree on one turn, scale and shift.
 
-All rows of a word meet, those of a crowded word in blocks of BLOCK_ROWS, so no link is lost and no task holds more than two blocks of a word.
-n_links counts every other class that shows the same picture. Hence m different copies of a picture meet in some m * m / 2 pairs, as many as there are
-links between them to count.
+All rows of a word meet, those of a crowded word in blocks of some BLOCK_ROWS, so no link is lost. A corner meets a block as one row with arrays of the
+block's corners; a task holds the rows of one image and one block at a time, and places are compared only for pairs in which MIN_VOTES corners have met.
+n_links counts every other class that shows the same picture. Hence m different copies of a picture still have some m * m / 2 matches, in those arrays,
+as there are that many links between them to count.
 
 Images that are null, empty or of the wrong length have no corners, as have those of at most 2 * RADIUS + 4 pixels on a side; they match only equal bytes
 (null: nothing). Places beyond 2^20 pixels count as there. Rows that share an id are one image with the corners of all; equal rows are one class. An
@@ -21,7 +22,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.components import connected_components
@@ -38,6 +40,7 @@ SIDE = 96
 COPY_EVERY = 10
 BROADCAST_IDS = 200_000
 BLOCK_ROWS = 1_000
+SLICE_MATCHES = 1 << 20
 CROWD = 1_000  # rows of a word that meet undealt
 TASK_PICTURES = 1_000
 
@@ -136,41 +139,89 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("media_id"), b.column("digest"), pa.array(points, kind), pa.array(words, kind)], names=["media_id", "digest", "points", "words"])
 
 
-def _bits(c: Column, shift: int, size: int) -> Column:
-    return F.shiftright(c, shift).bitwiseAND(F.lit((1 << size) - 1))
-
-
-def _votes(pairs: DataFrame, min_votes: int) -> DataFrame:
-    """a, b, votes of the pairs (a, b: media_id and at, a's id the smaller) that agree on one turn, scale and shift often enough."""
-    scales = F.array(*[F.lit(float(x)) for x in SCALE_CODES])
-    sides = {}
-    for side in "ab":
-        at = F.col(f"{side}.at")
-        sides[side] = {"x": _bits(at, 36, 20), "y": _bits(at, 16, 20), "angle": _bits(at, 4, 12) * (2 * np.pi / ANGLES), "scale": F.get(scales, _bits(at, 0, 4).cast("int"))}
-    a, b = sides["a"], sides["b"]
-    turn = F.pmod(b["angle"] - a["angle"], F.lit(2 * np.pi))
-    ratio = a["scale"] / b["scale"]
-    vote = pairs.select(
-        F.col("a.media_id").alias("a"), F.col("b.media_id").alias("b"), F.col("a.at").alias("ka"),
-        F.pmod(F.round(turn * TURN_BINS / (2 * np.pi)).cast("int"), F.lit(TURN_BINS)).alias("turn_bin"), F.round(4 * F.log2(ratio)).cast("int").alias("scale_bin"),
-        (b["x"] - ratio * (a["x"] * F.cos(turn) - a["y"] * F.sin(turn))).alias("tx"),
-        (b["y"] - ratio * (a["x"] * F.sin(turn) + a["y"] * F.cos(turn))).alias("ty"),
-    )
-    # Two grids, half a bin apart, so that no agreement is lost on a border.
-    grids = vote.withColumn("grid", F.explode(F.array(F.lit(0.0), F.lit(0.5))))
-    cells = grids.groupBy("a", "b", "turn_bin", "scale_bin", "grid", F.floor(F.col("tx") / SHIFT_BIN + F.col("grid")).alias("cx"), F.floor(F.col("ty") / SHIFT_BIN + F.col("grid")).alias("cy"))
-    agreed = cells.agg(F.count_distinct("ka").alias("votes")).where(F.col("votes") >= min_votes)
-    return agreed.groupBy("a", "b").agg(F.max("votes").alias("votes"))
-
-
-def _met_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b) of all rows of different images in a word, a's id the smaller; a crowded word's rows meet block by block."""
-    rows = shared.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-    dealt = rows.select("table", "word", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "m")
-    a, b = dealt.alias("x"), dealt.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("table", "word", "one", "two")]
-    met = a.join(b, same[0] & same[1] & same[2] & same[3]).where("x.m.media_id < y.m.media_id AND (x.one = x.two OR x.block <> y.block)")
-    return met.select(F.col("x.m").alias("a"), F.col("y.m").alias("b"))
+def _met_rows(shared: DataFrame) -> DataFrame:
+    """(a, block, ka, ids, places): a corner of image a, and in two arrays the corners of one block of images, of larger ids, that share a word with it.
+
+    All rows of a pair lie in one block of a: images are dealt to as many blocks as a's most crowded word has, which is a power of two, so that
+    the blocks of its other words are split, never mixed.
+    """
+    deal = lambda id_, n: F.pmod(F.xxhash64(id_), n)
+    lists = shared.groupBy("table", "word", deal("m.media_id", F.col("cuts")).alias("part")).agg(F.collect_list("m").alias("others"))
+    rows = shared.withColumn("blocks", F.max("cuts").over(Window.partitionBy("m.media_id")))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).join(lists, ["table", "word", "part"])
+    rows = rows.withColumn("block", F.explode(F.sequence("part", F.col("blocks") - 1, F.col("cuts"))))
+    later = F.filter("others", lambda o: o["media_id"] > F.col("m.media_id"))
+    dealt = F.filter(later, lambda o: deal(o["media_id"], F.col("blocks")) == F.col("block"))
+    met = rows.select(F.col("m.media_id").alias("a"), "block", F.col("m.at").alias("ka"), F.when(F.col("blocks") > F.col("cuts"), dealt).otherwise(later).alias("others")).where(F.size("others") > 0)
+    return met.select("a", "block", "ka", F.col("others.media_id").alias("ids"), F.col("others.at").alias("places"))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows cut into slices of whole groups (a, block), each of SLICE_MATCHES matches at most or of one group."""
+    rest: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.concat_tables([*rest, pa.Table.from_batches([batch])]).combine_chunks()
+        a, block = (rows[c].to_numpy() for c in ("a", "block"))
+        starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (block[1:] != block[:-1])]))
+        upto = np.concatenate([[0], np.cumsum(pc.list_value_length(rows["ids"]).to_numpy())])[starts]
+        first, last = 0, len(starts) - 1
+        for i in range(1, last + 1):
+            if i == last or upto[i + 1] - upto[first] > SLICE_MATCHES:
+                yield rows.slice(starts[first], starts[i] - starts[first])
+                first = i
+        rest = [rows.slice(starts[last])]
+    yield from rest
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    return np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+
+
+def _agreed(rows: pa.Table, min_votes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, votes of the pairs that agree on one turn, scale and shift often enough; places are compared only where enough corners have met."""
+    times = pc.list_value_length(rows["ids"]).to_numpy()
+    a, ka = (np.repeat(rows[c].to_numpy(), times) for c in ("a", "ka"))
+    b, kb = (pc.list_flatten(rows[c]).to_numpy() for c in ("ids", "places"))
+    order = np.lexsort((ka, b, a))
+    a, b, ka, kb = a[order], b[order], ka[order], kb[order]
+    first = _changes(a, b)
+    pair = np.cumsum(first) - 1
+    enough = np.bincount(pair, weights=_changes(a, b, ka)) >= min_votes
+    ids, kept = (a[first], b[first]), enough[pair]
+    pair, ka, kb = pair[kept], ka[kept], kb[kept]
+    votes = np.zeros(len(enough), dtype=np.int64)
+    if len(pair):
+        (ax, ay, a_angle, a_scale), (bx, by, b_angle, b_scale) = (
+            ((at >> 36 & 0xFFFFF).astype(float), (at >> 16 & 0xFFFFF).astype(float), (at >> 4 & 0xFFF) * (2 * np.pi / ANGLES), SCALE_CODES[at & 15]) for at in (ka, kb)
+        )
+        turn, ratio = (b_angle - a_angle) % (2 * np.pi), a_scale / b_scale
+        turn_bin = np.floor(turn * TURN_BINS / (2 * np.pi) + 0.5).astype(int) % TURN_BINS
+        scale_bin = np.rint(4 * np.log2(ratio)).astype(int)
+        tx = bx - ratio * (ax * np.cos(turn) - ay * np.sin(turn))
+        ty = by - ratio * (ax * np.sin(turn) + ay * np.cos(turn))
+        # Two grids, half a bin apart, so that no agreement is lost on a border.
+        for grid in (0.0, 0.5):
+            cell = (np.floor(ty / SHIFT_BIN + grid), np.floor(tx / SHIFT_BIN + grid), scale_bin, turn_bin, pair)
+            order = np.lexsort((ka, *cell))
+            cell = [c[order] for c in cell]
+            start = _changes(*cell)
+            count = np.bincount(np.cumsum(start) - 1, weights=_changes(ka[order], *cell)).astype(int)
+            np.maximum.at(votes, cell[-1][start], count)
+    found = votes >= min_votes
+    return ids[0][found], ids[1][found], votes[found]
+
+
+def _votes(met: DataFrame, min_votes: int) -> DataFrame:
+    """a, b, votes of the pairs in rows of _met_rows that agree on one turn, scale and shift often enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _agreed(rows, min_votes)], names=["a", "b", "votes"])
+
+    return met.repartition("a", "block").sortWithinPartitions("a", "block").mapInArrow(run, "a long, b long, votes long")
 
 
 def copy_links(media: DataFrame, min_votes: int = MIN_VOTES) -> tuple[DataFrame, DataFrame]:
@@ -184,13 +235,13 @@ def copy_links(media: DataFrame, min_votes: int = MIN_VOTES) -> tuple[DataFrame,
     few = same.count() <= BROADCAST_IDS
     single = described.join(F.broadcast(same) if few else same, "media_id", "left_anti")
     table = F.transform("words", lambda w, i: F.struct(w.alias("word"), (i % WORDS).cast("tinyint").alias("table"), F.get("points", F.floor(i / WORDS).cast("int")).alias("at")))
-    rows = single.select("media_id", F.explode(table).alias("r")).select("r.table", "r.word", F.struct("media_id", F.col("r.at").alias("at")).alias("m"))
+    rows = single.where("media_id IS NOT NULL").select("media_id", F.explode(table).alias("r")).select("r.table", "r.word", F.struct("media_id", F.col("r.at").alias("at")).alias("m"))
     # Only words that several images share are written.
     words = rows.groupBy("table", "word").agg(F.count("*").alias("n"), F.min("m.media_id").alias("low"), F.max("m.media_id").alias("high"))
     words = words.where("low <> high").drop("low", "high")
-    cuts = F.when(F.col("n") > CROWD, F.ceil(F.col("n") / BLOCK_ROWS)).otherwise(F.lit(1).cast("long"))
-    shared = rows.join(words, ["table", "word"]).withColumn("cuts", cuts).withColumn("block", F.pmod(F.xxhash64("m.media_id"), F.col("cuts")))
-    return classes, saved(_votes(_met_pairs(saved(shared)), min_votes))
+    cuts = F.when(F.col("n") > CROWD, F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("n") / BLOCK_ROWS, F.lit(1.0)))))).otherwise(F.lit(1)).cast("long")
+    shared = saved(rows.join(words, ["table", "word"]).select("table", "word", "m", cuts.alias("cuts")))
+    return classes, saved(_votes(_met_rows(shared), min_votes))
 
 
 def media_copies(media: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
