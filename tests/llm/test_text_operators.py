@@ -3,11 +3,15 @@
 import random
 import re
 import time
+import types
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +189,41 @@ def test_join_matches_brute_force(spark, documents, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} >= {k[2] for k in expected}
 
 
+def random_texts(path, texts, words):
+    rng = np.random.default_rng(8)
+    rows = [" ".join(map(str, rng.integers(0, 1 << 30, words).tolist())) for _ in range(texts)]
+    rows.append(rows[0] + " end")
+    pq.write_table(pa.table({"doc_id": range(len(rows)), "text": rows}), path, row_group_size=50)
+    return str(path)
+
+
+def test_join_moves_shared_grams_only(spark, monkeypatch, tmp_path):
+    """Of 5,000,000 n-grams, more than the sketch has slots, only those move that two prefixes hold."""
+    docs = spark.read.parquet(random_texts(tmp_path / "docs.parquet", 250, 20_000))
+    links, moved = ngram_join.family_links, []
+    monkeypatch.setattr(ngram_join, "family_links", lambda rows, percent: moved.append(rows.count()) or links(rows, percent))
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_components(docs).collect()}
+    assert found == {i: i % 250 for i in range(251)}
+    assert 7_900 < moved[0] < 12_000  # the prefixes of the two copies
+
+
+def test_sightings_of_prefixes():
+    """The bits of the n-grams that two sets have in common, also where one task's texts fill several rows of a shard; copies of a text count once."""
+    texts = [" ".join(f"{t}x{k}" for k in range(400)) for t in (1, 2, 1, 3)] + [" ".join(f"2x{k}" for k in range(390)) + " y"]
+    order = types.SimpleNamespace(value=(np.full(1 << ngram_join.SLOT_BITS, 9, np.uint32), None))
+    batches = [pa.RecordBatch.from_arrays([pa.array([x])], names=["text"]) for x in texts]
+    rows = pa.Table.from_batches(ngram_join._sightings(5, 80, order, 4)(iter(batches)))
+    bits, field = 16, np.zeros((16, 1 << 9), np.uint8)
+    for shard in set(rows["shard"].to_pylist()):
+        made = ngram_join._shared_places(bits - 4)(rows.filter(pc.equal(rows["shard"], shard)))
+        field[shard] = ngram_join._unpacked(made["field"][0].as_py(), np.uint8, 1 << 9)
+    prefixes = [ngram_join._prefix(s, 80, order.value[0]) for s in ngram_join.gram_sets(pa.array(texts))[0]]
+    shared = np.intersect1d(prefixes[1], prefixes[4])
+    assert len(shared) > 40
+    places = np.unique((ngram_join.ts.mix(shared) >> np.uint64(64 - bits)).astype(np.int64))
+    assert (np.flatnonzero(np.unpackbits(field)) == places).all()
+
+
 def test_overlap_kernels():
     import numpy as np
 
